@@ -155,7 +155,8 @@ def components(scratch: Scratch, edges: DataFrame, label: str, rounds: int = 60)
     """
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e = scratch.keep(e, f"{label}-0")
-    seen = None
+    state = (F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")))
+    seen = tuple(e.agg(*state).first())
     for k in range(1, rounds + 1):
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
@@ -165,10 +166,10 @@ def components(scratch: Scratch, edges: DataFrame, label: str, rounds: int = 60)
         small = large.join(low, "u").select(F.col("v").alias("u"), F.col("m").alias("v")).where("u <> v")
         small = small.unionByName(low.select("u", F.col("m").alias("v")))
         e = scratch.keep(small.select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct(), f"{label}-{k}")
-        now = e.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)"))).first()
-        if tuple(now) == seen:
+        now = tuple(e.agg(*state).first())
+        if now == seen:
             break
-        seen = tuple(now)
+        seen = now
         scratch.drop(f"{label}-{k - 1}")
     else:
         raise RuntimeError("components did not settle")
