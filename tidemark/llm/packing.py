@@ -13,6 +13,7 @@ occur. An empty table gives no rows. Other columns of the input are ignored.
 
 from __future__ import annotations
 
+import json
 import zlib
 from collections.abc import Iterator
 
@@ -26,7 +27,9 @@ from .common import Scratch, column
 
 WINDOW, END_ID = 1024, 0
 #: Words whose ids a task keeps at hand; beyond, the store starts anew. Results don't depend on it.
-WORD_STORE = 400_000
+WORD_STORE = 1_000_000
+#: The vocabulary's splitting rule (fixed value).
+SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, task int, rank long"
 
 
@@ -100,57 +103,67 @@ def best_fit_plan(histogram: dict[int, int], window: int) -> list[tuple[int, int
     return plan
 
 
+class ChunkIds(dict):
+    """Ids by chunk, found on first use. A chunk that the vocabulary may not cut off alone has None."""
+
+    def __init__(self, encode, lead: str):
+        super().__init__()
+        self.encode, self.lead = encode, lead
+
+    def __missing__(self, chunk: str) -> bytes | None:
+        odd = not chunk or chunk[0].isspace() or chunk[-1].isspace()
+        ids = None if odd else np.array(self.encode(self.lead + chunk), "<u4").tobytes()
+        self[chunk] = ids
+        return ids
+
+
 class Encoder:
-    """Ids of whole texts. A text is cut at single spaces between visible characters, where the
-    vocabulary's own splitting always cuts as well, so that the ids of a chunk can be kept."""
+    """Ids of whole texts under the byte-level vocabulary file at path (merges in order of id).
+
+    A text is cut at single spaces between visible characters, where the vocabulary's own
+    splitting always cuts as well, so that the ids of a chunk can be kept. Other texts go whole.
+    """
 
     def __init__(self, path: str):
-        from tokenizers import Tokenizer
-
-        self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
-        self.store: dict[str, bytes] = {}
-
-    def chunks(self, text: str) -> list[str]:
-        """Their joined form is the text; each but the first begins with the space before it."""
-        parts = text.split(" ")
-        tail = parts[1:]
-        if all(p and not p[0].isspace() and not p[-1].isspace() for p in parts):
-            return [parts[0], *[" " + p for p in tail]]
-        out = [parts[0]]
-        for p in tail:
-            if p and not p[0].isspace() and out[-1] and not out[-1][-1].isspace():
-                out.append(" " + p)
-            else:
-                out[-1] += " " + p
-        return out
-
-    def __call__(self, texts: list[str]) -> list[bytes]:
-        """Little-endian unsigned 32-bit ids of each text."""
-        cut = [self.chunks(t) if t else [] for t in texts]
-        if len(self.store) > WORD_STORE:
-            self.store = {}
-        store = self.store
-        new = list({c for chunks in cut for c in chunks if c not in store})
-        for lo in range(0, len(new), 20_000):
-            part = new[lo : lo + 20_000]
-            for c, e in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                store[c] = np.array(e.ids, "<u4").tobytes()
-        return [b"".join([store[c] for c in chunks]) for chunks in cut]
+        import tiktoken
+
+        # the file writes byte b as the b-th character of this alphabet
+        plain = [*range(33, 127), *range(161, 173), *range(174, 256)]
+        rest = [b for b in range(256) if b not in plain]
+        alphabet = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
+        with open(path, encoding="utf-8") as f:
+            model = json.load(f)
+        special = {t["content"] for t in model.get("added_tokens", ())}
+        ranks = {bytes(alphabet[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in special}
+        self.encode = tiktoken.Encoding("bytes", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+        self.renew()
+
+    def renew(self) -> None:
+        self.first, self.later = ChunkIds(self.encode, ""), ChunkIds(self.encode, " ")
+
+    def __call__(self, text: str) -> bytes:
+        """Little-endian unsigned 32-bit ids."""
+        if not text:
+            return b""
+        chunks = text.split(" ")
+        if len(self.first) + len(self.later) > WORD_STORE:
+            self.renew()
+        try:
+            return b"".join([self.first[chunks[0]], *map(self.later.__getitem__, chunks[1:])])
+        except TypeError:  # an odd chunk
+            return np.array(self.encode(text), "<u4").tobytes()
 
 
 def _cut(batches: Iterator[pa.RecordBatch], path: str, window: int, end_id: int) -> Iterator[pa.RecordBatch]:
-    import os
-
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     encode, task = Encoder(path), TaskContext.get().partitionId()
     seen = np.zeros(window + 1, np.int64)
     end = np.array([end_id], "<u4").tobytes()
-
-    def rows(ids: list, texts: list) -> pa.RecordBatch:
-        out = [[] for _ in range(7)]
-        for doc, tokens in zip(ids, encode(texts), strict=True):
-            tokens += end
+    kinds = [pa.int64()] * 5 + [pa.int32(), pa.int64()]
+    names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "rank"]
+    for batch in batches:
+        out = [[] for _ in names]
+        for doc, text in zip(column(batch, "doc_id").to_pylist(), column(batch, "text"), strict=True):
+            tokens = encode(text.as_py() or "") + end
             total = len(tokens) // 4
             for start in range(0, total, window):
                 length = min(window, total - start)
@@ -158,20 +171,7 @@ def _cut(batches: Iterator[pa.RecordBatch], path: str, window: int, end_id: int)
                 for o, v in zip(out, (doc, start, length, crc, total, task, int(seen[length])), strict=True):
                     o.append(v)
                 seen[length] += 1
-        kinds = [pa.int64()] * 5 + [pa.int32(), pa.int64()]
-        return pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], names=["doc_id", "start", "length", "ids_crc32", "doc_tokens", "task", "rank"])
-
-    for batch in batches:
-        ids, texts, size = [], [], 0
-        for doc, text in zip(column(batch, "doc_id").to_pylist(), column(batch, "text"), strict=True):
-            ids.append(doc)
-            texts.append(text.as_py() or "")
-            size += len(texts[-1])
-            if size > 4_000_000:
-                yield rows(ids, texts)
-                ids, texts, size = [], [], 0
-        if ids:
-            yield rows(ids, texts)
+        yield pa.RecordBatch.from_arrays([pa.array(o, k) for o, k in zip(out, kinds, strict=True)], names=names)
 
 
 def pack(docs: DataFrame, tokenizer: str, scratch: Scratch, window: int = WINDOW, end_id: int = END_ID) -> DataFrame:
