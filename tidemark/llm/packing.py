@@ -73,33 +73,22 @@ def best_fit_plan(histogram: dict[int, int], window: int) -> list[tuple[int, int
         while left:
             capacity = tree.tightest(length)
             if capacity < 0:
-                # each window opened now takes one piece at once; best fit refills a window before opening one
-                each = window // length
-                whole, rest = divmod(left, each)
-                if whole:
-                    for k in range(each):
-                        plan.append((length, rank + k * whole, whole, opened, k * length))
-                    after = window - each * length
-                    ranges.setdefault(after, []).append((opened, whole))
-                    tree.add(after, whole)
-                    opened, rank, left = opened + whole, rank + whole * each, left - whole * each
-                if left:
-                    for k in range(rest):
-                        plan.append((length, rank + k, 1, opened, k * length))
-                    after = window - rest * length
-                    ranges.setdefault(after, []).append((opened, 1))
-                    tree.add(after, 1)
-                    opened, left = opened + 1, 0
-                break
-            first, count = ranges[capacity].pop()
-            n = min(left, count)
-            if n < count:
-                ranges[capacity].append((first + n, count - n))
-            plan.append((length, rank, n, first, window - capacity))
-            tree.add(capacity, -n)
-            tree.add(capacity - length, n)
-            ranges.setdefault(capacity - length, []).append((first, n))
-            rank, left = rank + n, left - n
+                capacity, first, count = window, opened, left
+            else:
+                first, count = ranges[capacity].pop()
+                tree.add(capacity, -count)
+            # once it has a piece, a window is the tightest until no other of this length fits
+            each = min(capacity // length, left)
+            n = min(count, left // each)
+            plan += [(length, rank + k * n, n, first, window - capacity + k * length) for k in range(each)]
+            rank, left, opened = rank + each * n, left - each * n, max(opened, first + n)
+            rest = [(capacity - each * length, first, n)]
+            if capacity < window:
+                rest.append((capacity, first + n, count - n))
+            for free, start, k in rest:
+                if k:
+                    ranges.setdefault(free, []).append((start, k))
+                    tree.add(free, k)
     return plan
 
 
