@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import Scratch, table
 
 
+def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .tiff import store_and_read
+
+    return store_and_read(table(spark, sf_dir, "documents"))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
@@ -15,5 +21,5 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), Scratch(spark))
 
 
-QUERIES = {"op7_packing": op7_packing}
+QUERIES = {"op5_tiff": op5_tiff, "op7_packing": op7_packing}
 ORACLE_SQL: dict[str, str] = {}
