@@ -21,5 +21,11 @@ def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), Scratch(spark))
 
 
-QUERIES = {"op5_tiff": op5_tiff, "op7_packing": op7_packing}
+def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .html_text import extract
+
+    return extract(table(spark, sf_dir, "pages"))
+
+
+QUERIES = {"op5_tiff": op5_tiff, "op7_packing": op7_packing, "op9_html": op9_html}
 ORACLE_SQL: dict[str, str] = {}
