@@ -27,5 +27,11 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
     return extract(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {"op5_tiff": op5_tiff, "op7_packing": op7_packing, "op9_html": op9_html}
+def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .minhash import near_duplicates
+
+    return near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark))
+
+
+QUERIES = {"op5_tiff": op5_tiff, "op7_packing": op7_packing, "op9_html": op9_html, "op10_minhash": op10_minhash}
 ORACLE_SQL: dict[str, str] = {}
