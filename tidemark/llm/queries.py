@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import Scratch, table
 
 
+def op4_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .itq import near_vectors
+
+    return near_vectors(table(spark, sf_dir, "embeddings"), Scratch(spark))
+
+
 def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .tiff import store_and_read
 
@@ -33,5 +39,5 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark))
 
 
-QUERIES = {"op5_tiff": op5_tiff, "op7_packing": op7_packing, "op9_html": op9_html, "op10_minhash": op10_minhash}
+QUERIES = {"op4_itq": op4_itq, "op5_tiff": op5_tiff, "op7_packing": op7_packing, "op9_html": op9_html, "op10_minhash": op10_minhash}
 ORACLE_SQL: dict[str, str] = {}
