@@ -96,15 +96,6 @@ def range_hash(symbols: np.ndarray, start: np.ndarray, end: np.ndarray) -> np.nd
 _BYTE = mix(np.arange(1, 257, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def byte_symbols(data: np.ndarray) -> np.ndarray:
-    """A symbol for each byte that also depends on the three bytes before it."""
-    s = _BYTE[data]
-    out = s.copy()
-    for k in (1, 2, 3):
-        out[k:] += s[:-k] * np.uint64(2 * k + 1)
-    return out
-
-
 def words_of(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words [^\\x20\\x09-\\x0D]+ in UTF-8 bytes."""
     solid = np.concatenate([[False], ~SPACE[data], [False]])

@@ -7,6 +7,12 @@ from pyspark.sql import DataFrame, SparkSession
 from .common import Scratch, table
 
 
+def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .repeats import remove_repeats
+
+    return remove_repeats(table(spark, sf_dir, "documents"), Scratch(spark)).drop("kept")
+
+
 def op4_itq(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .itq import near_vectors
 
@@ -39,5 +45,5 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark))
 
 
-QUERIES = {"op4_itq": op4_itq, "op5_tiff": op5_tiff, "op7_packing": op7_packing, "op9_html": op9_html, "op10_minhash": op10_minhash}
+QUERIES = {"op1_suffix_array": op1_suffix_array, "op4_itq": op4_itq, "op5_tiff": op5_tiff, "op7_packing": op7_packing, "op9_html": op9_html, "op10_minhash": op10_minhash}
 ORACLE_SQL: dict[str, str] = {}
