@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import gc
 import tempfile
 import uuid
 
@@ -43,6 +44,11 @@ class Scratch:
         df.write.mode("overwrite").option("compression", "zstd").parquet(path)
         return self.spark.read.schema(df.schema).parquet(path)
 
+    def release(self) -> None:
+        """Has Spark drop shuffle files of finished jobs now; it does so when the driver collects garbage."""
+        gc.collect()
+        self.spark.sparkContext._jvm.System.gc()
+
     def drop(self, *labels: str) -> None:
         """Frees tables that no later plan reads."""
         for label in labels:
@@ -110,6 +116,15 @@ def word_hashes(data: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     return start, end, range_hash(_BYTE[data], start, end)
 
 
+def block_words(data: np.ndarray, bounds: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Hashes of the words of texts one after another, and the texts' bounds among them."""
+    # a line feed between texts keeps their words apart
+    apart = np.full(len(data) + len(bounds) - 1, 10, np.uint8)
+    apart[np.arange(len(data)) + np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))] = data
+    start, _, words = word_hashes(apart)
+    return words, np.searchsorted(start, bounds + np.arange(len(bounds)))
+
+
 def column(batch: pa.RecordBatch, name: str) -> pa.Array:
     return batch.column(batch.schema.get_field_index(name))
 

@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, _BYTE, column, components, mix, range_hash, text_blocks, words_of
+from .common import Scratch, block_words, column, components, mix, range_hash, text_blocks
 
 POSITIONS, ERRORS = 64, 24
 CHUNKS = ERRORS // 2 + 1
@@ -45,16 +45,7 @@ def _bounds() -> list[np.ndarray]:
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, width: int) -> list[np.ndarray]:
     """The sorted distinct shingle hashes of each text of a block."""
-    data = _LOWER[data]
-    # a line feed between texts keeps words apart
-    joined = np.full(len(data) + len(bounds) - 1, 10, np.uint8)
-    shift = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
-    joined[np.arange(len(data)) + shift] = data
-    start, end = words_of(joined)
-    if not len(start):
-        return [np.empty(0, np.uint64)] * (len(bounds) - 1)
-    words = range_hash(_BYTE[joined], start, end)
-    cut = np.searchsorted(start, bounds + np.arange(len(bounds)))
+    words, cut = block_words(_LOWER[data], bounds)
     n = len(words)
     grams = np.zeros(max(n - width + 1, 0), np.uint64)
     for j in range(width):
