@@ -13,6 +13,12 @@ def op1_suffix_array(spark: SparkSession, sf_dir: str) -> DataFrame:
     return remove_repeats(table(spark, sf_dir, "documents"), Scratch(spark)).drop("kept")
 
 
+def op2_licenses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from .licenses import scan_licenses
+
+    return scan_licenses(table(spark, sf_dir, "documents"))
+
+
 def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .substrings import remove_seen
 
@@ -51,5 +57,5 @@ def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark))
 
 
-QUERIES = {"op1_suffix_array": op1_suffix_array, "op3_substrings": op3_substrings, "op4_itq": op4_itq, "op5_tiff": op5_tiff, "op7_packing": op7_packing, "op9_html": op9_html, "op10_minhash": op10_minhash}
+QUERIES = {"op1_suffix_array": op1_suffix_array, "op2_licenses": op2_licenses, "op3_substrings": op3_substrings, "op4_itq": op4_itq, "op5_tiff": op5_tiff, "op7_packing": op7_packing, "op9_html": op9_html, "op10_minhash": op10_minhash}
 ORACLE_SQL: dict[str, str] = {}
