@@ -6,6 +6,7 @@ import atexit
 import gc
 import tempfile
 import uuid
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -153,6 +154,41 @@ def text_blocks(arr: pa.Array, limit: int = 1 << 21):
         yield first, np.concatenate(rows), np.cumsum([0, *map(len, rows)])
 
 
+def by_group(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
+    """Rows sorted by the named columns, a table for each group."""
+    held, last = [], None
+    for batch in batches:
+        k = np.stack([column(batch, n).to_numpy() for n in names])
+        edges = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1), batch.num_rows]
+        for a, b in zip(edges[:-1], edges[1:], strict=True):
+            if a < b:
+                now = tuple(k[:, a])
+                if last is not None and now != last:
+                    yield pa.Table.from_batches(held)
+                    held = []
+                held.append(batch.slice(a, b - a))
+                last = now
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+def forest(a: np.ndarray, b: np.ndarray) -> set[tuple[int, int]]:
+    """Edges to the smallest member of each component of the links."""
+    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
+    u, v = at[: len(a)], at[len(a) :]
+    low = np.arange(len(ids))
+    while True:
+        m = np.minimum(low[u], low[v])
+        new = low.copy()
+        np.minimum.at(new, u, m)
+        np.minimum.at(new, v, m)
+        new = new[new]
+        if np.array_equal(new, low):
+            break
+        low = new
+    return {(int(ids[i]), int(ids[r])) for i, r in enumerate(low) if i != r}
+
+
 def components(scratch: Scratch, edges: DataFrame, label: str, rounds: int = 60) -> DataFrame:
     """(node, component): component is the smallest node that links reach, for every node of an edge.
 

@@ -19,14 +19,12 @@ empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, column, components, mix
+from .common import Scratch, by_group, column, components, forest, mix
 
 COSINE, SAMPLE, ROUNDS, ROTATIONS, CHUNK, RADIUS = 0.95, 20_000, 30, 2, 16, 44
 #: Queries of a bucket that one task compares with all of the bucket.
@@ -131,24 +129,6 @@ def _lookups(models: dict[int, tuple[np.ndarray, np.ndarray]], rotations: int):
     return run
 
 
-def _groups(batches: Iterator[pa.RecordBatch], names: list[str]) -> Iterator[pa.Table]:
-    """Rows sorted by the named columns, a table for each group."""
-    held, last = [], None
-    for batch in batches:
-        k = np.stack([column(batch, n).to_numpy() for n in names])
-        edges = [0, *(np.flatnonzero((k[:, 1:] != k[:, :-1]).any(0)) + 1), batch.num_rows]
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            if a < b:
-                now = tuple(k[:, a])
-                if last is not None and now != last:
-                    yield pa.Table.from_batches(held)
-                    held = []
-                held.append(batch.slice(a, b - a))
-                last = now
-    if held:
-        yield pa.Table.from_batches(held)
-
-
 def _split(g: pa.Table, names: list[str]) -> tuple[list[np.ndarray], list[np.ndarray]]:
     q = g.column("query").to_numpy()
     cols = [g.column(n).to_numpy() for n in names]
@@ -165,7 +145,7 @@ def _meet(rotations: int, radius: int):
 
     def run(batches):
         out, rows = [[], [], []], 0
-        for g in _groups(batches, ["key", "part"]):
+        for g in by_group(batches, ["key", "part"]):
             q, e = _split(g, names)
             if not len(q[0]) or not len(e[0]):
                 continue
@@ -195,7 +175,7 @@ def _rerank(rotations: int, cosine: float, models):
     """Per bucket part: each query's weight of links that this table finds first, and a forest of its links."""
 
     def run(batches):
-        for g in _groups(batches, ["key", "part"]):
+        for g in by_group(batches, ["key", "part"]):
             (qi, qn, qd, qu), (ei, en, ed, eu) = _split(g, ["rep", "copies", "dims", "unit"])
             if not len(qi) or not len(ei):
                 continue
@@ -204,7 +184,7 @@ def _rerank(rotations: int, cosine: float, models):
             qx, ex = (np.frombuffer(b"".join(u), np.float64).reshape(-1, n) for u in (qu, eu))
             qc, ec = (chunks(codes(x, *models[n], rotations)) for x in (qx, ex))
             degree, root = np.zeros(len(qi), np.int64), qi.copy()
-            forest = set()
+            trees = set()
             for lo in range(0, len(ei), PART):
                 part = slice(lo, lo + PART)
                 link = (qx @ ex[part].T >= cosine) & (qi[:, None] != ei[None, part])
@@ -216,8 +196,8 @@ def _rerank(rotations: int, cosine: float, models):
                     first &= np.bitwise_count(x) > 1
                 degree += (link & first) @ en[part]
                 i, j = np.nonzero(link)
-                forest |= _forest(qi[i], ei[part][j])
-            a, b = np.array(sorted(forest), np.int64).reshape(-1, 2).T
+                trees |= forest(qi[i], ei[part][j])
+            a, b = np.array(sorted(trees), np.int64).reshape(-1, 2).T
             some = degree > 0
             ids = np.concatenate([qi[some], a])
             other = pa.array(np.concatenate([np.zeros(some.sum(), np.int64), b]), mask=np.concatenate([np.ones(some.sum(), bool), np.zeros(len(a), bool)]))
@@ -235,23 +215,6 @@ def _table_of(key: int, dims: int, qu, ei, eu, models, rotations: int) -> int:
     return int(np.flatnonzero(keys == key)[0])
 
 
-def _forest(a: np.ndarray, b: np.ndarray) -> set[tuple[int, int]]:
-    """Edges to the smallest member of each component of the links."""
-    ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
-    u, v = at[: len(a)], at[len(a) :]
-    low = np.arange(len(ids))
-    while True:
-        m = np.minimum(low[u], low[v])
-        new = low.copy()
-        np.minimum.at(new, u, m)
-        np.minimum.at(new, v, m)
-        new = new[new]
-        if np.array_equal(new, low):
-            break
-        low = new
-    return {(int(ids[i]), int(ids[r])) for i, r in enumerate(low) if i != r}
-
-
 def near_vectors(vectors: DataFrame, scratch: Scratch, cosine: float = COSINE, rotations: int = ROTATIONS, sample: int = SAMPLE, radius: int = RADIUS) -> DataFrame:
     """One row per row of vectors: vec_id, n_links, component_id, kept."""
     ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
