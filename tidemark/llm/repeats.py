@@ -24,6 +24,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from .common import _BYTE, Scratch, column, mix, range_hash, text_blocks
 from .segments import keyed, place, segments, squeezed, unplace, unsqueezed
@@ -202,7 +203,7 @@ def _settle(length: int):
     return run
 
 
-def _remove(length: int):
+def _remove(length: int, carry: list[str]):
     def run(batches):
         for batch in batches:
             rows = []
@@ -220,7 +221,7 @@ def _remove(length: int):
                 rows.append((doc, n, removed, spans, hashlib.sha256(kept).hexdigest(), kept))
             cols = list(zip(*rows, strict=True)) or [()] * 6
             kinds = [pa.int64()] * 4 + [pa.string(), pa.binary()]
-            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=[x.split()[0] for x in OUT.split(", ")])
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)] + [column(batch, c) for c in carry], names=[x.split()[0] for x in OUT.split(", ")] + carry)
 
     return run
 
@@ -246,9 +247,10 @@ def _split_crowds(parts: DataFrame, scratch: Scratch, length: int, crowd: int) -
         parts = scratch.keep(parts.join(crowds, "g", "left_anti").unionByName(rest), f"parts-{k}")
 
 
-def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD) -> DataFrame:
-    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left)."""
-    docs = keyed(docs)
+def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram: int = GRAM, crowd: int = CROWD, carry: list[str] | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left), and columns to carry."""
+    carry = carry or []
+    docs = keyed(docs, carry)
     occ = scratch.keep(docs.select("row", "text").mapInArrow(_occurrences(length, gram), "a long, s long, row long, loc long"), "occurrences")
     anchors = occ.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("lo"), F.max("s").alias("hi")).where("n > 1")
     shared = scratch.keep(occ.join(anchors.select("a", (F.col("lo") == F.col("hi")).alias("uniform")), "a"), "shared")
@@ -268,5 +270,8 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram
     for f in found:
         places = places.unionByName(f)
     places = places.groupBy("row").agg(F.collect_set("loc").alias("places"))
-    out = squeezed(docs).join(places, "row", "left").select("doc_id", "packed", "places")
-    return out.mapInArrow(_remove(length), OUT)
+    out = squeezed(docs, carry).join(places, "row", "left").select("doc_id", "packed", "places", *carry)
+    schema = StructType.fromDDL(OUT)
+    for c in carry:
+        schema = schema.add(docs.schema[c])
+    return out.mapInArrow(_remove(length, carry), schema)

@@ -78,22 +78,26 @@ def unplace(loc):
     return loc // 65536, loc // 256 % 256, loc % 256
 
 
-def keyed(docs: DataFrame) -> DataFrame:
+def keyed(docs: DataFrame, carry: list[str]) -> DataFrame:
     """doc_id, text and a key of the row: equal rows share it, others don't, whatever their ids."""
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    return docs.select(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.isnull("doc_id"), "text").alias("row"), "doc_id", "text")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *carry)
+    return docs.select(F.xxhash64(F.coalesce("doc_id", F.lit(-1)), F.isnull("doc_id"), "text").alias("row"), "doc_id", "text", *carry)
 
 
-def squeezed(docs: DataFrame) -> DataFrame:
-    """row, doc_id and the text's bytes compressed, for joins that move whole texts. Null: empty."""
+def squeezed(docs: DataFrame, carry: list[str] | None = None) -> DataFrame:
+    """row, doc_id, columns to carry and the text's bytes compressed, for joins that move whole texts. Null: empty."""
+    carry = carry or []
 
     def run(batches):
         press = zstandard.ZstdCompressor(level=1)
         for batch in batches:
             packed = [press.compress(t.tobytes()) for t in raw_texts(column(batch, "text"))]
-            yield pa.RecordBatch.from_arrays([column(batch, "row"), column(batch, "doc_id"), pa.array(packed, pa.binary())], names=["row", "doc_id", "packed"])
+            yield pa.RecordBatch.from_arrays([column(batch, "row"), column(batch, "doc_id"), pa.array(packed, pa.binary()), *(column(batch, c) for c in carry)], names=["row", "doc_id", "packed", *carry])
 
-    return docs.mapInArrow(run, "row long, doc_id long, packed binary")
+    schema = docs.select("row", "doc_id").schema.add("packed", "binary")
+    for c in carry:
+        schema = schema.add(docs.schema[c])
+    return docs.select("row", "doc_id", "text", *carry).mapInArrow(run, schema)
 
 
 def unsqueezed(arr: pa.Array):
