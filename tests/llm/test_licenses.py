@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from tidemark.llm.licenses import SIMILAR, TEMPLATES, Index, align, grams, scan_licenses, winnow, words
+from tidemark.llm.licenses import SIMILAR, TEMPLATES, Index, align, diagonals, grams, scan_licenses, winnow, words
 
 LINES = {k: v for k, v in TEMPLATES.items() if k.endswith("-line")}
 
@@ -84,3 +84,20 @@ def test_sample_table_equals_brute_force(spark):
     got = {(r.doc_id, r.license) for r in scan_licenses(df, LINES).collect()}
     assert got <= want and len(want - got) == len([w for w in want - got if any(g[0] == w[0] for g in got)])
     assert len(got) > 3
+
+
+def test_diagonals_in_dense_votes():
+    rng = np.random.default_rng(0)
+    votes = np.concatenate([rng.integers(0, 5000, 2500), np.full(40, 700), np.full(40, 3000) + rng.integers(0, 4, 40)])
+    got = diagonals(votes, 25)
+    assert any(abs(d - 700) <= 3 for d in got) and any(abs(d - 3001) <= 4 for d in got) and len(got) <= 4
+    assert diagonals(np.array([5, 900]), 1) == [5, 900] and diagonals(np.array([], int), 1) == []
+
+
+def test_long_text_with_common_words(spark):
+    """Words of the template all around don't hide it."""
+    rng = random.Random(3)
+    noise = " ".join(rng.choices("the of and to in is by software any license copies or without this".split(), k=30_000))
+    text = f"{noise} {TEMPLATES['MIT']} {noise}"
+    got = scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [(r.license, r.coverage) for r in got] == [("MIT", 1.0)]

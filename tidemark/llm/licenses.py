@@ -2,8 +2,8 @@
 
 Templates are cut into words; of the hashes of GRAM words in a row the least of each WINDOW is a
 fingerprint of the template, in an inverted index (a few hundred entries, shipped with the task).
-A document's grams that are in the index vote for a template and a diagonal; each cluster of votes
-is aligned with the template in a band around the diagonal, which gives the words matched, the
+A document's grams that are in the index vote for a template and a diagonal; where enough votes for
+a match lie within a band, the text is aligned with the template in a band around the diagonal, which gives the words matched, the
 coverage of the template and the span in the document. A match counts from SIMILAR on, words
 matched over the template's words and the document's words inserted between; of matches that
 overlap the one with more matched words stays.
@@ -14,6 +14,8 @@ repeated rows repeat theirs. An empty table gives no rows; other columns are ign
 
 from __future__ import annotations
 
+import math
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -89,6 +91,10 @@ class Index:
         for t, w in enumerate(self.words):
             g = grams(w, GRAM)
             rows += [(int(g[p]), t, int(p)) for p in winnow(g, WINDOW)]
+        # a word left out spoils two grams, one put in spoils one: a match keeps all fingerprints but
+        # 2 (1 - SIMILAR) n at most, so fewer votes can't be one
+        kept = [sum(r[1] == t for r in rows) - 2 * (1 - SIMILAR) * len(w) for t, w in enumerate(self.words)]
+        self.need = [max(1, math.ceil(k - 1e-9)) for k in kept]
         rows.sort()
         self.hash = np.array([r[0] for r in rows], np.uint64)
         self.template, self.place = (np.array([r[i] for r in rows], np.int64) for i in (1, 2))
@@ -127,6 +133,25 @@ def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAN
     return *best, end
 
 
+def diagonals(votes: np.ndarray, need: int, band: int = BAND) -> list[int]:
+    """Where at least `need` votes lie within a band: the fullest place of each run, and its median."""
+    votes = np.sort(votes)
+    count = np.searchsorted(votes, votes + band, side="right") - np.arange(len(votes))
+    out, at = [], 0
+    while at < len(votes):
+        if count[at] < need:
+            more = np.flatnonzero(count[at:] >= need)
+            if not len(more):
+                break
+            at += int(more[0])
+        end = int(np.searchsorted(votes, votes[at] + band, side="right"))
+        best = at + int(np.argmax(count[at:end]))
+        last = best + int(count[best])
+        out.append(int(votes[(best + last - 1) // 2]))
+        at = last
+    return out
+
+
 def scan(hashes: np.ndarray, index: Index) -> list[tuple[int, int, int, int]]:
     """(template, matched, first word, last word + 1) of the matches of a document."""
     t, p, at = index.votes(hashes)
@@ -135,11 +160,8 @@ def scan(hashes: np.ndarray, index: Index) -> list[tuple[int, int, int, int]]:
         own = t == k
         template = index.words[k]
         n = len(template)
-        diagonal = np.sort((at - p)[own])
-        # votes within a band of each other are one cluster
-        cuts = np.flatnonzero(np.diff(diagonal) > BAND) + 1
-        for group in np.split(diagonal, cuts):
-            m, s, e = align(template, hashes, int(np.median(group)))
+        for diagonal in diagonals((at - p)[own], index.need[k]):
+            m, s, e = align(template, hashes, diagonal)
             if m and m >= SIMILAR * (n + max(0, e - s - m)):
                 found.append((int(k), m, s, e))
     found.sort(key=lambda f: (-f[1], f[3] - f[2], f[0], f[2]))
