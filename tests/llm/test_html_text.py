@@ -15,6 +15,9 @@ CASES = [
     ("<body><nav><ul><li>never closed<article><p>Body</p></article>", "Body"),
     ("<body><p hidden>no</p><p>a < b and <i title='x > y'>c</i></p>", "a < b and c"),
     (f"<body><div><a href=1>one</a> <a href=2>two</a> <a href=3>three</a></div><div><p>{PROSE}</p><p>{PROSE * 3}</p></div><div>© us</div>", " ".join([PROSE.strip(), (PROSE * 3).strip()])),
+    ("<body><div class='layout hasSidebar sidebar'><div class=sidebar>links</div><main><p>In a wrapper</p></main></div>", "In a wrapper"),
+    (f"<body><div class='page promo'><p>{PROSE * 3}</p></div><div class='cookieNotice'>ok?</div><div id=commentForm>say</div>", (PROSE * 3).strip()),
+    (f"<body><p>{PROSE}</p><section class=comments><p>{PROSE * 9}</p></section>", PROSE.strip()),
     ("<body><article><header><h1>Title</h1></header><p>x</p><ul><li>i<li>j</ul><table><tr><td>c<td>d</table><footer>by</footer></article>", "Title x i j c d"),
 ]
 

@@ -35,37 +35,66 @@ NOISE_TAGS = frozenset("nav footer aside form button select input menu dialog sv
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search dialog alert alertdialog menu menubar toolbar".split())
 NOISE_WORDS = frozenset(
     "ad ads adv advert adverts advertisement advertising adsense sponsor sponsored promo promoted promotion banner cookie cookies consent gdpr notice notices notification alert"
-    " nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead comment comments commentlist respond disqus replies reply share sharing social related recommended"
+    " nav navbar navigation menu breadcrumb breadcrumbs sidebar aside footer masthead reply share sharing social related recommended"
     " popup modal overlay newsletter subscribe subscription signup login pagination pager widget toolbar".split()
 )
 OUTSIDE_WORDS = frozenset(["header", "topbar"])
-WORD = re.compile(r"[a-z0-9]+")
+COMMENT_WORDS = frozenset("comment comments commentlist commentform disqus respond replies".split())
+NOISE_STARTS = ("advert", "adsby", "cookie", "sponsor", "newsletter", "sidebar", "breadcrumb", "popup")
+WORD, CAMEL = re.compile(r"[a-z0-9]+"), re.compile(r"([a-z])([A-Z])")
 OUT = "page_id long, url string, text string, n_chars long, n_blocks int, core string"
 
 
-def _noise(tag: str, rest: str, in_article: bool) -> bool:
+HARD, SOFT, COMMENT = 2, 1, 3
+
+
+def _noise(tag: str, rest: str, in_article: bool) -> int:
+    """0, or how sure it is that an element is boilerplate: HARD by its name or state, SOFT by the
+    words of its class, which a wrapper of the article may also have, COMMENT of readers."""
     if tag in NOISE_TAGS or tag == "header" and not in_article:
-        return True
+        return HARD
     if not rest or rest.isspace():
-        return False
-    found = {m[1].lower(): (m[2] or m[3] or m[4] or "").lower() for m in ATTRIBUTE.finditer(rest)}
-    if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", ""):
-        return True
-    if found.get("role") in NOISE_ROLES:
-        return True
-    words = set(WORD.findall(f"{found.get('class', '')} {found.get('id', '')}"))
+        return 0
+    found = {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(rest)}
+    if "hidden" in found or found.get("aria-hidden") == "true" or "display:none" in found.get("style", "").replace(" ", "").lower():
+        return HARD
+    if found.get("role", "").lower() in NOISE_ROLES:
+        return HARD
+    words = set(WORD.findall(CAMEL.sub(r"\1 \2", f"{found.get('class', '')} {found.get('id', '')}").lower()))
+    if words & COMMENT_WORDS and tag not in ("html", "body", "main"):
+        return COMMENT
     if tag in ("html", "body", "main", "article"):
-        return tag == "article" and bool(words & {"comment", "comments", "ad", "ads", "related"})
-    return bool(words & NOISE_WORDS) or not in_article and bool(words & OUTSIDE_WORDS)
+        return SOFT if tag == "article" and words & {"ad", "ads", "related"} else 0
+    if words & NOISE_WORDS or any(w.startswith(NOISE_STARTS) for w in words) or not in_article and words & OUTSIDE_WORDS:
+        return SOFT
+    return 0
 
 
 class Page:
     """Elements by number, parents before children, and the kept text with its element."""
 
     def __init__(self, source: str):
-        self.tag, self.parent, self.noise, self.article = ["#root"], [-1], [False], [False]
+        self.tag, self.parent, self.noise, self.article = ["#root"], [-1], [0], [False]
         self.text: list[tuple[int, str]] = []  # (element, characters) or (-1, "") between blocks
         self._parse(source)
+        self._decide()
+
+    def _decide(self) -> None:
+        """Elements that are SOFT by themselves hold the article if they wrap it or most of the text; then noise is inherited."""
+        n = len(self.tag)
+        size, wraps = [0] * n, [t in ("article", "main") and not q for t, q in zip(self.tag, self.noise, strict=True)]
+        for i, t in self.text:
+            if i >= 0:
+                size[i] += len(t)
+        for i in range(n - 1, 0, -1):
+            if self.noise[i] not in (HARD, COMMENT):
+                size[self.parent[i]] += size[i]
+                wraps[self.parent[i]] |= wraps[i]
+        for i in range(1, n):
+            if self.noise[i] == SOFT and (wraps[i] or size[i] > 0.7 * size[0]):
+                self.noise[i] = 0
+            self.noise[i] = self.noise[i] or self.noise[self.parent[i]]
+        self.text = [(i, t) for i, t in self.text if i < 0 or not self.noise[i]]
 
     def _parse(self, source: str) -> None:
         open_, at, n = [0], 0, len(source)
@@ -106,7 +135,7 @@ class Page:
             self.parent.append(up)
             in_article = self.article[up] or tag in ("article", "main")
             self.article.append(in_article)
-            self.noise.append(self.noise[up] or _noise(tag, rest, in_article))
+            self.noise.append(HARD if self.noise[up] == HARD else _noise(tag, rest, in_article))
             if tag in VOID or rest.endswith("/") and tag not in BLOCK and tag not in RAW:
                 continue
             if tag in RAW:
@@ -123,7 +152,7 @@ class Page:
                 return
 
     def _say(self, node: int, raw: str) -> None:
-        if raw and not self.noise[node]:
+        if raw and self.noise[node] != HARD:
             self.text.append((node, html.unescape(raw) if "&" in raw else raw))
 
     def core(self) -> tuple[set[int], str]:
