@@ -241,3 +241,30 @@ def test_streams(spark, tmp_path):
     assert sorted(map(tuple, spark.table("streamed").collect())) == [(False, 4, 24), (True, 3, 18)]
     with pytest.raises(E.SQLBindingError):
         stream(t, "SELECT id FROM s ORDER BY id")
+
+
+def test_built_queries_equal_their_text(engine):
+    from tidemark.fluent import col, table
+
+    t = lambda n: table(engine, n)
+    assert t("users").where((col("age") < 18) | (col("active") == True) & col("nickname").is_null()).select("name").rows() == (("Alice",), ("Bob",))  # noqa: E712
+    assert t("users").where(~(col("nickname") == "Bobby")).where(col("age") >= 18).order_by("-age").select("name", "age").limit(1, 1).rows() == (("Alice", 20),)
+    assert t("users").where(lambda c: c("age") % 8 == 0).select("name").rows() == (("Bob",), ("Carol",))
+    assert t("users").where(lambda c: c("nickname") == "Bobby").rows() == ((2, "Bob", 16, "Bobby", False),)
+    joined = t("people").join("orders", "people.id", "orders.user_id").where(lambda c: c("orders.total") > 60)
+    assert joined.select("name", "total").rows() == (("Ada", 120), ("Ben", 200))
+    assert joined.group_by("people.name").select("people.name").agg(count="*", sum=["total"]).order_by("-sum_total").rows() == (("Ben", 1, 200), ("Ada", 1, 120))
+    with pytest.raises(E.TypeMismatchError):
+        t("users").where(col("id") == "1").frame()
+
+
+def test_index_searches(spark, tmp_path):
+    with Engine(spark, str(tmp_path)) as e:
+        make(e, "events", "id INTEGER, score INTEGER, kind VARCHAR?", [(4, 20, "same"), (1, 10, "same"), (3, 30, "other"), (2, 20, None)])
+        e.create_index("by_score", "events", "score")
+        e.create_index("by_kind", "events", "kind")
+        t = e.get_table("events")
+        assert t.search("by_score", 20) == [0, 3] and t.search("by_kind", "same") == [0, 1] and t.scan_range("by_kind") == [0, 1, 2]
+        assert t.scan_range("by_score", 10, 20, False, True) == [0, 3] and t.scan_range("by_score", 20, None, False) == [2] and t.scan_range("by_score", 30, 10) == []
+        with pytest.raises(E.IndexNotFoundError):
+            t.search("none", 1)

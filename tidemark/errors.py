@@ -41,6 +41,10 @@ class IndexAlreadyExistsError(CatalogError):
     pass
 
 
+class IndexNotFoundError(CatalogError):
+    pass
+
+
 class UnsupportedIndexTypeError(CatalogError):
     pass
 

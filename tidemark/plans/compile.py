@@ -11,22 +11,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..dialect.grammar import And, Not, Or
+from ..dialect.grammar import And, Not, Or, Ref
 from ..functions.exprs import aggregate, compare, is_null, ordering
 from ..types import DataType
-from .bind import Query, Slot, Test
+from .bind import Built, Query, Slot, Test
 
 
 def name(slot: Slot) -> str:
     return f"c{slot.source}_{slot.ordinal}"
 
 
+def parse_ref(text: str) -> Ref:
+    table, _, column = text.rpartition(".")
+    return Ref(column, table or None)
+
+
 def predicate(p, negate: bool = False) -> Column:
     if isinstance(p, Not):
         return predicate(p.inner, not negate)
     if isinstance(p, (And, Or)):
         left, right = predicate(p.left, negate), predicate(p.right, negate)
         return left & right if isinstance(p, And) != negate else left | right
+    if isinstance(p, Built):
+        made = F.coalesce(p.build(lambda n: F.col(name(p.scope.slot(parse_ref(n))))), F.lit(False))
+        return ~made if negate else made
     test: Test = p
     c = F.col(name(test.slot))
     if test.op in ("null", "not null"):

@@ -24,12 +24,14 @@ from ..errors import (
     DatabaseInUseError,
     EngineError,
     IndexAlreadyExistsError,
+    IndexNotFoundError,
     ReservedNameError,
     RowNotFoundError,
     TableAlreadyExistsError,
     TableNotFoundError,
     UnsupportedIndexTypeError,
 )
+from ..functions.exprs import compare
 from ..types import NAME, Column, DataType, Schema
 
 FORMAT, MAX_DIRS, RID = 1, 64, "__rid"
@@ -125,6 +127,26 @@ class ManagedTable:
             raise RowNotFoundError(f"{self.name} has no row {rid}")
         return tuple(row)[:-1]
 
+    def search(self, index: str, key: object) -> list[int]:
+        """Ordinals of the rows whose indexed column equals the key."""
+        return self.scan_range(index, key, key)
+
+    def scan_range(self, index: str, lower: object = None, upper: object = None, lower_inclusive: bool = True, upper_inclusive: bool = True) -> list[int]:
+        """Ordinals of the rows between bounds, in order; no bound where it is None, NULL keys never."""
+        return [r[RID] for r in self.range_frame(index, lower, upper, lower_inclusive, upper_inclusive).select(RID).orderBy(RID).collect()]
+
+    def range_frame(self, index: str, lower: object = None, upper: object = None, lower_inclusive: bool = True, upper_inclusive: bool = True) -> DataFrame:
+        ordinal = next((k for n, k in self.indexes if n.lower() == index.lower()), None)
+        if ordinal is None:
+            raise IndexNotFoundError(f"{self.name} has no index {index}")
+        column = self.schema.columns[ordinal]
+        c, df = F.col(column.name), self.frame()[0]
+        for bound, op in ((lower, ">=" if lower_inclusive else ">"), (upper, "<=" if upper_inclusive else "<")):
+            if bound is not None:
+                column.check(bound)
+                df = df.where(compare(c, column.type, op, bound))
+        return df.where(c.isNotNull())
+
     def insert(self, values) -> int:
         return self.insert_many([values])[0]
 
