@@ -33,7 +33,7 @@ class _Lazy(Engine):
     def _find(self, name: str):
         found = super()._find(name)
         if found is None and name in TABLES:
-            return self.register_parquet_as(name)
+            return self._external(name)
         if found is None and name == "gaps":
             events = self.spark.read.parquet(f"{self.sf_dir}/events.parquet")
             v = F.when(F.col("event_type") != "error", F.col("value")).alias("v")
@@ -44,7 +44,7 @@ class _Lazy(Engine):
             return self._add("keyed", nation.select("n_nationkey", "n_name", F.when(F.col("n_nationkey") % 5 != 0, F.col("n_regionkey")).alias("rk")))
         return found
 
-    def register_parquet_as(self, name: str):
+    def _external(self, name: str):
         from .sources.external import ExternalTable
 
         table = ExternalTable(self.spark, name, f"{self.sf_dir}/{name}.parquet")
@@ -134,17 +134,72 @@ DIALECT: dict[str, tuple[str, str | None]] = {
 }
 
 
-def _managed(spark: SparkSession, sf_dir: str, statements: list[str], result: str) -> DataFrame:
-    """Customers copied to a managed table, changed by statements, and read back."""
+def _engine(spark: SparkSession, sf_dir: str) -> Engine:
+    """Customers copied to a managed table of a new engine, in the shared folder if there is one."""
     base = spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="tidemark-")
     engine = Engine(spark, f"{base.rstrip('/')}/tables-{uuid.uuid4().hex}")
     columns = (Column("c_custkey", DataType.BIGINT), Column("c_name", DataType.VARCHAR, max_length=64), Column("c_nationkey", DataType.INTEGER), Column("c_acctbal", DataType.FLOAT), Column("c_mktsegment", DataType.VARCHAR, max_length=32))
     engine.create_table("customer", Schema(columns)).append(spark.read.parquet(f"{sf_dir}/customer.parquet"))
+    return engine
+
+
+def _managed(spark: SparkSession, sf_dir: str, statements: list[str], result: str) -> DataFrame:
+    engine = _engine(spark, sf_dir)
     for s in statements:
         engine.execute(s)
     return engine.frame(result)
 
 
+def _copy(spark: SparkSession, sf_dir: str) -> Engine:
+    """The engine with the copied customers, indexed by key and by segment."""
+    engine = _engine(spark, sf_dir)
+    engine.create_index("by_key", "customer", "c_custkey")
+    engine.create_index("by_segment", "customer", "c_mktsegment")
+    return engine
+
+
+def _point_get(spark, sf_dir):
+    t = _copy(spark, sf_dir).get_table("customer")
+    rid = t.search("by_key", 77)[0]
+    return spark.createDataFrame([t.get(rid)], t.schema.struct())
+
+
+def _table_count(spark, sf_dir):
+    return spark.createDataFrame([(_copy(spark, sf_dir).get_table("customer").count(),)], "n long")
+
+
+def _range_search(spark, sf_dir):
+    t = _copy(spark, sf_dir).get_table("customer")
+    return t.range_frame("by_key", 100, 900, False, True).select("c_custkey", "c_name")
+
+
+def _profiles(spark, sf_dir):
+    engine, rows = _copy(spark, sf_dir), []
+    for name, sql in (("scan", "SELECT c_name FROM customer WHERE c_nationkey = 3"), ("index", "SELECT c_name FROM customer WHERE c_mktsegment = 'BUILDING' AND c_nationkey = 3")):
+        p = engine.execute_profiled(sql).profile
+        n = p.metrics.tuples_examined if p.access_path == "TableScan" else p.metrics.rids_selected
+        rows.append((name, p.access_path, p.index_name, n))
+    return spark.createDataFrame(rows, "query string, access_path string, index_name string, n long")
+
+
+def _table_api(spark, sf_dir):
+    from .operators.changes import delete_row, update_row
+
+    t = _copy(spark, sf_dir).get_table("customer")
+    t.insert_many([(-5, "five", 1, 0.5, "X"), (-6, "six", 1, 0.5, "X")])
+    update_row(t, t.search("by_key", -5)[0], (-5, "cinq", 2, 1.5, "Y"))
+    delete_row(t, t.search("by_key", -6)[0])
+    return t.frame()[0].where("c_custkey < 3").drop("__rid")
+
+
+SINGLE: dict[str, tuple] = {
+    "table_point_get": (_point_get, "SELECT * FROM customer WHERE c_custkey = 77"),
+    "table_count": (_table_count, "SELECT count(*) AS n FROM customer"),
+    "index_scan_range": (_range_search, "SELECT c_custkey, c_name FROM customer WHERE c_custkey > 100 AND c_custkey <= 900"),
+    "profile_access_paths": (_profiles, "SELECT 'scan' AS query, 'TableScan' AS access_path, CAST(NULL AS VARCHAR) AS index_name, count(*) AS n FROM customer UNION ALL SELECT 'index', 'IndexScan', 'by_segment', count(*) FROM customer WHERE c_mktsegment = 'BUILDING'"),
+    "table_rows_by_ordinal": (_table_api, "SELECT * FROM customer WHERE c_custkey < 3 UNION ALL SELECT -5, 'cinq', 2, 1.5, 'Y'"),
+}
+
 ALL = "SELECT * FROM customer"
 CHANGES = {
     "dml_insert": (["INSERT INTO customer VALUES (-1, 'O''Neil', 3, 1.5, 'NEW')", "INSERT INTO customer VALUES (-2, '', 4, -2.0, 'NEW')"], "SELECT c_custkey, c_name, c_nationkey, c_acctbal, c_mktsegment FROM customer UNION ALL VALUES (-1, 'O''Neil', 3, 1.5, 'NEW'), (-2, '', 4, -2.0, 'NEW')"),
@@ -173,7 +228,21 @@ def _tracker(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     members = nation.where("id % 2 = 0").select(F.col("id").alias("workspace_id"), F.lit(1).cast("long").alias("user_id"), F.lit("MEMBER").alias("role"))
     projects = read("customer").select(F.col("c_custkey").alias("id"), F.col("c_nationkey").cast("long").alias("workspace_id"), F.col("c_name").alias("name"))
     users = spark.createDataFrame([(0, "zero"), (1, "one"), (2, "two")], "id long, name string")
-    return {"tasks": tasks, "task_due_dates": due, "workspaces": nation, "workspace_members": members, "projects": projects, "users": users}
+    events = read("events")
+    ms = F.unix_millis(F.col("ts").cast("timestamp"))
+    activity = events.select(F.col("event_id").alias("id"), (F.col("user_id") % 50).alias("task_id"), (F.col("user_id") % 25).alias("workspace_id"), F.col("event_type"), ms.alias("created_at"))
+    notes = events.select(
+        F.col("event_id").alias("id"),
+        (F.col("user_id") % 7).alias("recipient_user_id"),
+        "event_type",
+        F.when(F.col("user_id") % 4 != 0, F.col("user_id") % 25).alias("workspace_id"),
+        F.lit(None).cast("long").alias("project_id"),
+        F.when(F.col("user_id") % 4 != 0, -F.col("user_id")).alias("task_id"),
+        ms.alias("created_at"),
+        (F.col("event_id") % 2 == 0).alias("is_read"),
+        F.when(F.col("event_id") % 3 == 0, ms).alias("dismissed_at"),
+    )
+    return {"task_activity": activity, "notifications": notes, "tasks": tasks, "task_due_dates": due, "workspaces": nation, "workspace_members": members, "projects": projects, "users": users}
 
 
 TRACKER_SQL = """WITH tasks AS (SELECT o_orderkey AS id, o_custkey AS project_id, o_orderpriority AS title, CASE o_orderstatus WHEN 'F' THEN 'DONE' WHEN 'P' THEN 'IN_PROGRESS' ELSE 'TODO' END AS status,
@@ -204,7 +273,74 @@ def _view_progress(spark, sf_dir):
     return views.project_progress(_tracker(spark, sf_dir))
 
 
+def _view_project_tasks(spark, sf_dir):
+    t = _tracker(spark, sf_dir)
+    return views.tasks_of_project(t, 37, sort="due_asc", limit=200).select("id", "status", "due_date")
+
+
+def _view_accessible(spark, sf_dir):
+    return views.accessible_tasks(_tracker(spark, sf_dir), 1, priority="HIGH").select("id", "project_name", "assignee_name")
+
+
+def _view_workspaces(spark, sf_dir):
+    return views.workspaces_of(_tracker(spark, sf_dir), 1)
+
+
+def _view_activity(spark, sf_dir):
+    return views.activity(_tracker(spark, sf_dir), 7).select("id", "event_type", "created_at")
+
+
+def _view_notifications(spark, sf_dir):
+    return views.notifications(_tracker(spark, sf_dir), 1, unread=True).select("id", "workspace_id", "task_id", "created_at")
+
+
+def _view_all_read(spark, sf_dir):
+    return views.all_read(_tracker(spark, sf_dir), 1).groupBy("is_read").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _view_next_id(spark, sf_dir):
+    t = _tracker(spark, sf_dir)
+    return spark.createDataFrame([(views.next_id((t["tasks"], "id"), (t["task_activity"], "task_id")),)], "next_id long")
+
+
+def _view_changes(spark, sf_dir):
+    t = _tracker(spark, sf_dir)
+    before = t["tasks"].select("id", "title", "status", "priority", "assignee_user_id")
+    done = F.when(F.col("id") % 10 == 0, "DONE").when(F.col("id") % 10 == 1, "TODO").otherwise(F.col("status"))
+    return views.task_changes(before, before.withColumns({"status": done, "assignee_user_id": F.when(F.col("id") % 5 != 0, F.col("assignee_user_id"))}))
+
+
+def _view_member_leaves(spark, sf_dir):
+    left = views.without_member(_tracker(spark, sf_dir), 4, 1)
+    return left["tasks"].groupBy("assignee_user_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+def _view_task_deleted(spark, sf_dir):
+    t = views.without_task(_tracker(spark, sf_dir), 7)
+    return t["tasks"].agg(F.count(F.lit(1)).alias("tasks")).crossJoin(t["task_due_dates"].agg(F.count(F.lit(1)).alias("dated"))).crossJoin(t["task_activity"].where("task_id = 7").agg(F.count(F.lit(1)).alias("activity")))
+
+
 VIEWS = {
+    "view_project_tasks": (_view_project_tasks, TRACKER_SQL.replace(" WHERE n_nationkey % 2 = 0", "") + "SELECT id, status, due_date FROM tasks WHERE project_id = 37"),
+    "view_accessible_tasks": (_view_accessible, TRACKER_SQL + "SELECT id, project_name, CASE assignee_user_id WHEN 0 THEN 'zero' WHEN 1 THEN 'one' ELSE 'two' END AS assignee_name FROM tasks WHERE priority = 'HIGH'"),
+    "view_workspaces": (_view_workspaces, "SELECT CAST(n_nationkey AS BIGINT) AS id, n_name AS name FROM nation WHERE n_nationkey % 2 = 0"),
+    "view_activity": (_view_activity, "SELECT event_id AS id, event_type, epoch_us(ts) // 1000 AS created_at FROM events WHERE user_id % 50 = 7"),
+    "view_notifications": (
+        _view_notifications,
+        """SELECT event_id AS id, CASE WHEN user_id % 4 <> 0 THEN user_id % 25 END AS workspace_id, CAST(NULL AS BIGINT) AS task_id, epoch_us(ts) // 1000 AS created_at FROM events
+ WHERE user_id % 7 = 1 AND event_id % 2 <> 0 AND event_id % 3 <> 0 AND (user_id % 4 = 0 OR user_id % 25 % 2 = 0)""",
+    ),
+    "view_all_read": (_view_all_read, "SELECT (event_id % 2 = 0) OR (user_id % 7 = 1 AND event_id % 3 <> 0) AS is_read, count(*) AS n FROM events GROUP BY 1"),
+    "view_next_id": (_view_next_id, "SELECT greatest((SELECT max(o_orderkey) FROM orders), (SELECT max(user_id % 50) FROM events)) + 1 AS next_id"),
+    "view_task_changes": (
+        _view_changes,
+        """WITH t AS (SELECT o_orderkey AS id, CASE o_orderstatus WHEN 'F' THEN 'DONE' WHEN 'P' THEN 'IN_PROGRESS' ELSE 'TODO' END AS status FROM orders),
+ n AS (SELECT id, status, CASE id % 10 WHEN 0 THEN 'DONE' WHEN 1 THEN 'TODO' ELSE status END AS later FROM t)
+ SELECT id AS task_id, CASE WHEN later = 'DONE' THEN 'TASK_COMPLETED' WHEN status = 'DONE' THEN 'TASK_REOPENED' ELSE 'STATUS_CHANGED' END AS event_type, 'status' AS field, status AS old, later AS new FROM n WHERE status <> later
+ UNION ALL SELECT id, 'ASSIGNEE_CHANGED', 'assignee_user_id', CAST(id % 3 AS VARCHAR), NULL FROM t WHERE id % 5 = 0""",
+    ),
+    "view_member_leaves": (_view_member_leaves, "SELECT CASE WHEN o_orderkey % 3 = 1 AND c_nationkey = 4 THEN NULL ELSE o_orderkey % 3 END AS assignee_user_id, count(*) AS n FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1"),
+    "view_task_deleted": (_view_task_deleted, "SELECT (SELECT count(*) FROM orders WHERE o_orderkey <> 7) AS tasks, (SELECT count(*) FROM orders WHERE o_orderkey % 4 <> 0 AND o_orderkey <> 7) AS dated, (SELECT count(*) FROM events WHERE user_id % 50 = 7) AS activity"),
     "view_dashboard": (
         _view_dashboard,
         TRACKER_SQL + f"""SELECT (SELECT count(*) FROM nation WHERE n_nationkey % 2 = 0) AS workspace_count, (SELECT count(*) FROM customer WHERE c_nationkey % 2 = 0) AS project_count, count(*) AS task_count,
@@ -227,8 +363,8 @@ def _changed(statements: list[str]) -> Callable[[SparkSession, str], DataFrame]:
     return lambda spark, sf_dir: _managed(spark, sf_dir, statements, ALL)
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _sql(text) for n, (text, _) in DIALECT.items()} | {n: _changed(s) for n, (s, _) in CHANGES.items()} | {n: f for n, (f, _) in VIEWS.items()}
-ORACLE_SQL: dict[str, str] = {n: sql or text for n, (text, sql) in DIALECT.items()} | {n: sql for n, (_, sql) in CHANGES.items()} | {n: sql for n, (_, sql) in VIEWS.items()}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {n: _sql(text) for n, (text, _) in DIALECT.items()} | {n: _changed(s) for n, (s, _) in CHANGES.items()} | {n: f for n, (f, _) in (VIEWS | SINGLE).items()}
+ORACLE_SQL: dict[str, str] = {n: sql or text for n, (text, sql) in DIALECT.items()} | {n: sql for n, (_, sql) in CHANGES.items()} | {n: sql for n, (_, sql) in (VIEWS | SINGLE).items()}
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
