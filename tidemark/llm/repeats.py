@@ -253,8 +253,12 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram
     docs = keyed(docs, carry)
     occ = scratch.keep(docs.select("row", "text").mapInArrow(_occurrences(length, gram), "a long, s long, row long, loc long"), "occurrences")
     anchors = occ.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("lo"), F.max("s").alias("hi")).where("n > 1")
-    shared = scratch.keep(occ.join(anchors.select("a", (F.col("lo") == F.col("hi")).alias("uniform")), "a"), "shared")
-    scratch.drop("occurrences")
+    # written, so that the join's sides are plain shuffles, whose hot partitions Spark splits
+    anchors = scratch.keep(anchors.select("a", (F.col("lo") == F.col("hi")).alias("uniform")), "anchors")
+    scratch.release()
+    shared = scratch.keep(occ.join(anchors, "a"), "shared")
+    scratch.drop("occurrences", "anchors")
+    scratch.release()
     mixed = shared.where("not uniform")
     kinds = scratch.keep(mixed.groupBy("a", "s").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "loc")).alias("one")), "kinds")
     known = mixed.join(kinds.where("n > 1").select("a", "s"), ["a", "s"]).select("row", "loc")
