@@ -7,18 +7,30 @@ import pytest
 from tidemark.llm.common import Scratch, block_words, by_group, forest, range_hash, raw_texts, text_blocks
 
 
+class Session:
+    """The session, with a setting that a running one doesn't take."""
+
+    def __init__(self, spark, master, folder):
+        self.spark, self.conf, self.sparkContext, self.read = spark, self, self, spark.read
+        self.master, self.folder, self._jvm, self._jsc = master, folder, spark.sparkContext._jvm, spark.sparkContext._jsc
+
+    def get(self, key, default):
+        return self.folder if key == "spark.checkpoint.dir" else default
+
+
 def test_scratch_writes_where_the_session_says(spark, tmp_path):
-    spark.conf.set("spark.checkpoint.dir", f"file://{tmp_path}")
-    try:
-        s = Scratch(spark)
-        df = s.keep(spark.range(5), "x")
-        assert df.count() == 5 and os.listdir(tmp_path)[0].startswith("tidemark-")
-        s.drop("x")
-        assert os.listdir(tmp_path / os.listdir(tmp_path)[0]) == []
-        s.clear()
-        assert os.listdir(tmp_path) == []
-    finally:
-        spark.conf.unset("spark.checkpoint.dir")
+    s = Scratch(Session(spark, "spark://host:1", f"file://{tmp_path}"))
+    assert s.keep(spark.range(5), "x").count() == 5
+    (own,) = os.listdir(tmp_path)
+    s.drop("x")
+    assert own.startswith("tidemark-") and "x" not in os.listdir(tmp_path / own)
+    s.clear()
+    assert own not in os.listdir(tmp_path)
+
+
+def test_scratch_wants_a_shared_folder_on_a_cluster(spark):
+    with pytest.raises(ValueError):
+        Scratch(Session(spark, "spark://host:1", None))
 
 
 def test_equal_ranges_have_equal_hashes():
