@@ -26,13 +26,16 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Scratch, block_words, column, components, mix, range_hash, text_blocks
+from .common import Scratch, block_words, by_group, column, components, forest, mix, range_hash, text_blocks
+from .segments import squeezed, unsqueezed
 
 POSITIONS, ERRORS = 64, 24
 CHUNKS = ERRORS // 2 + 1
 SHINGLE = 5
 #: Rows of a star, and classes of a bucket's block, that one task takes at a time.
-STAR_BLOCK, PAIR_BLOCK = 2048, 1024
+STAR_BLOCK, PAIR_BLOCK = 256, 1024
+#: Shingles of a family's block, and tokens that its links are counted over at a time.
+BLOCK_SHINGLES, TOKENS = 1_000_000, 4096
 
 _A = mix(np.arange(1, POSITIONS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -79,7 +82,8 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 
 def _with_sets(batches: Iterator[pa.RecordBatch], width: int):
     for batch in batches:
-        for first, data, bounds in text_blocks(column(batch, "text")):
+        texts = column(batch, "text") if "text" in batch.schema.names else pa.array(list(unsqueezed(column(batch, "packed"))), pa.binary())
+        for first, data, bounds in text_blocks(texts):
             yield batch.slice(first, len(bounds) - 1), shingle_sets(data, bounds, width)
 
 
@@ -116,10 +120,6 @@ def _keys(batches):
         yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(ids, len(keys)))], names=["key", "rep"])
 
 
-def _near(a: bytes, b: bytes) -> bool:
-    return np.count_nonzero(np.frombuffer(a, np.uint16) != np.frombuffer(b, np.uint16)) <= ERRORS
-
-
 def _within_distance(batches):
     for batch in batches:
         a, b = (np.frombuffer(b"".join(column(batch, n).to_pylist()), np.uint16).reshape(-1, POSITIONS) for n in ("sig_a", "sig_b"))
@@ -127,15 +127,18 @@ def _within_distance(batches):
         yield batch.select(["a", "b"]).filter(pa.array(near))
 
 
-def _cross_pairs(batches):
-    """Of rows sorted by key: pairs of different components within the distance, in blocks."""
-    held: list[pa.RecordBatch] = []
+def _edges(a, b) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
+
 
-    def search(rows: list[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, comp = (np.concatenate([column(r, n).to_numpy() for r in rows]) for n in ("rep", "component"))
-        sig = np.frombuffer(b"".join(s for r in rows for s in column(r, "sig").to_pylist()), np.uint16).reshape(-1, POSITIONS)
+def _crossings(batches):
+    """Per bucket: a forest of the pairs of different components within the distance, found in blocks."""
+    for g in by_group(batches, ["key"]):
+        ids, comp = g.column("rep").to_numpy(), g.column("component").to_numpy()
+        sig = np.frombuffer(b"".join(g.column("sig").to_pylist()), np.uint16).reshape(-1, POSITIONS)
         order = np.argsort(comp, kind="stable")
         ids, comp, sig = ids[order], comp[order], sig[order]
+        trees: set[tuple[int, int]] = set()
         for lo in range(0, len(ids), PAIR_BLOCK):
             own = slice(lo, lo + PAIR_BLOCK)
             # a row's partners come after the last row of its component
@@ -147,23 +150,41 @@ def _cross_pairs(batches):
                     apart += sig[own, p, None] != sig[None, other, p]
                 i, j = np.nonzero((apart <= ERRORS) & (np.arange(at, at + len(ids[other])) >= first[:, None]))
                 if len(i):
-                    x, y = ids[own][i], ids[other][j]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.minimum(x, y)), pa.array(np.maximum(x, y))], names=["a", "b"])
+                    trees = forest(np.concatenate([ids[own][i], [a for a, _ in trees]]).astype(np.int64), np.concatenate([ids[other][j], [b for _, b in trees]]).astype(np.int64))
+        yield _edges([a for a, _ in trees], [b for _, b in trees])
 
-    last = None
-    for batch in batches:
-        keys = column(batch, "key").to_numpy()
-        edges = np.concatenate([[0], np.flatnonzero(keys[1:] != keys[:-1]) + 1, [len(keys)]])
-        for a, b in zip(edges[:-1], edges[1:], strict=True):
-            if a == b:
-                continue
-            if last is not None and keys[a] != last:
-                yield from search(held)
-                held = []
-            held.append(batch.slice(a, b - a))
-            last = keys[a]
-    if held:
-        yield from search(held)
+
+def _block_links(percent: int):
+    """Of two blocks of a family's full sets: a forest of the links between them."""
+
+    def run(batches):
+        for g in by_group(batches, ["family", "x", "y"]):
+            x, y, block = (g.column(n).to_numpy() for n in ("x", "y", "block"))
+            ids, comp = g.column("rep").to_numpy(), g.column("component").to_numpy()
+            sets = [np.frombuffer(b, np.uint64) for b in g.column("shingles").to_pylist()]
+            size = np.array([len(s) for s in sets])
+            flat = np.concatenate(sets)
+            owner = np.repeat(np.arange(len(sets)), size)
+            _, token, n = np.unique(flat, return_inverse=True, return_counts=True)
+            # what only one set holds can't be shared
+            common = np.cumsum(n > 1) - 1
+            some = n[token] > 1
+            token, owner = common[token[some]], owner[some]
+            left, right = np.flatnonzero(block == x[0]), np.flatnonzero(block == y[0])
+            both = np.zeros((len(left), len(right)), np.float32)
+            order = np.argsort(token, kind="stable")
+            token, owner = token[order], owner[order]
+            for lo in range(0, int(token[-1]) + 1 if len(token) else 0, TOKENS):
+                part = slice(*np.searchsorted(token, [lo, lo + TOKENS]))
+                grid = np.zeros((len(sets), TOKENS), np.float32)
+                grid[owner[part], token[part] - lo] = 1
+                both += grid[left] @ grid[right].T
+            union = size[left][:, None] + size[right][None, :] - both
+            i, j = np.nonzero((both > 0) & (100.0 * both >= float(percent) * union) & (comp[left][:, None] != comp[right][None, :]))
+            trees = forest(ids[left][i], ids[right][j])
+            yield _edges([a for a, _ in trees], [b for _, b in trees])
+
+    return run
 
 
 def _send_sets(width: int):
@@ -202,17 +223,43 @@ def _confirm(percent: int):
     return run
 
 
+def _texts(docs: DataFrame) -> DataFrame:
+    """Compressed texts, to be joined by merging at any size."""
+    docs = docs.select(F.lit(0).cast("long").alias("row"), "doc_id", "text")
+    return squeezed(docs).select(F.col("doc_id").alias("rep"), "packed").hint("merge")
+
+
 def _links(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose full sets are similar enough. A star of many rows is cut into parts."""
     stars = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select("a", F.ceil(F.col("n") / STAR_BLOCK).cast("int").alias("n_parts"))
     hubs = stars.select(F.col("a").alias("rep"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("part"), F.lit(0).alias("centre"))
     leaves = pairs.join(stars, "a").select(F.col("b").alias("rep"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), "n_parts").cast("int").alias("part"), F.lit(1).alias("centre"))
     wanted = hubs.unionByName(leaves).groupBy("rep").agg(F.collect_list("hub").alias("hubs"), F.collect_list("part").alias("parts"), F.collect_list("centre").alias("centre"))
-    texts = docs.select(F.col("doc_id").alias("rep"), "text").join(wanted, "rep").select("rep", "text", "hubs", "parts", "centre")
+    texts = _texts(docs).join(wanted, "rep").select("rep", "packed", "hubs", "parts", "centre")
     sent = texts.mapInArrow(_send_sets(width), "hub long, part int, centre int, rep long, shingles binary")
     return sent.repartition("hub", "part").sortWithinPartitions("hub", "part", "centre").mapInArrow(_confirm(percent), "a long, b long")
 
 
+def _family_links(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+    """A forest of the links within each family. members: rep, family, component, weight.
+
+    A family is cut into blocks of about BLOCK_SHINGLES shingles; each pair of blocks is a group.
+    """
+    total = members.groupBy("family").agg(F.ceil(F.sum("weight") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    own = members.join(total, "family").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
+    texts = _texts(docs).join(own, "rep").select("rep", "packed", "family", "component", "block", "blocks")
+
+    def send(batches):
+        for rows, sets in _with_sets(batches, width):
+            out = [(f, min(b, k), max(b, k), b, r, c, s.tobytes()) for f, c, b, n, r, s in zip(*(column(rows, n).to_pylist() for n in ("family", "component", "block", "blocks", "rep")), sets, strict=True) for k in range(n)]
+            cols = list(zip(*out, strict=True)) or [()] * 7
+            kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int64(), pa.binary()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["family", "x", "y", "block", "rep", "component", "shingles"])
+
+    sent = texts.mapInArrow(send, "family long, x int, y int, block int, rep long, component long, shingles binary")
+    return sent.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(_block_links(percent), "a long, b long")
+
+
 def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = SHINGLE, percent: int = 85) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
@@ -223,7 +270,10 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = SHINGLE, per
     sigs = classes.select("rep", "sig")
     keys = sigs.mapInArrow(_keys, "key long, rep long")
     hubs = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    # written, so that the join's sides are plain shuffles, whose hot partitions Spark splits
+    hubs = scratch.keep(hubs.select("key", "hub"), "hubs")
     members = scratch.keep(keys.join(hubs, "key"), "members")
+    scratch.release()
 
     def near(pairs: DataFrame) -> DataFrame:
         pairs = pairs.join(sigs.toDF("a", "sig_a"), "a").join(sigs.toDF("b", "sig_b"), "b")
@@ -232,19 +282,26 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = SHINGLE, per
     stars = scratch.keep(near(members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()), "stars")
     links = scratch.keep(_links(docs, stars, width, percent), "links")
     found = scratch.keep(components(scratch, links, "first"), "found")
+    scratch.release()
 
-    # buckets that hold several components: their pairs across components
+    # buckets that still hold several components: families of classes that pairs across them connect
     placed = members.select("key", "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
     placed = placed.withColumn("component", F.coalesce("component", "rep"))
     open_ = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi and n > 2")
     crowd = placed.join(open_.select("key"), "key").join(sigs, "rep").select("key", "rep", "component", "sig")
-    crossing = crowd.repartition("key").sortWithinPartitions("key").mapInArrow(_cross_pairs, "a long, b long").distinct()
-    crossing = scratch.keep(crossing.join(stars, ["a", "b"], "left_anti"), "crossing")
+    crossing = crowd.repartition("key").sortWithinPartitions("key").mapInArrow(_crossings, "a long, b long").distinct()
+    crossing = scratch.keep(crossing, "crossing")
+    scratch.drop("members", "stars", "hubs")
+    scratch.release()
     if not crossing.isEmpty():
-        more = scratch.keep(_links(docs, crossing, width, percent), "more")
+        families = scratch.keep(components(scratch, crossing, "families"), "family")
+        own = families.select(F.col("node").alias("rep"), F.col("component").alias("family"))
+        own = own.join(classes.select("rep", F.col("n_shingles").alias("weight")), "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
+        own = scratch.keep(own.withColumn("component", F.coalesce("component", "rep")), "own")
+        more = scratch.keep(_family_links(docs, own, width, percent), "more")
         found = scratch.keep(components(scratch, links.unionByName(more), "second"), "final")
+        scratch.release()
     rooted = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))
     component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     out = base.join(rooted, same, "left").select("doc_id", "n_shingles", component.alias("component_id"))
-    scratch.drop("members", "stars")
     return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
