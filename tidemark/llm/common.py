@@ -141,7 +141,7 @@ def raw_texts(arr: pa.Array):
         yield flat[off[i] : off[i + 1]] if valid[i] else flat[:0]
 
 
-def text_blocks(arr: pa.Array, limit: int = 1 << 21):
+def text_blocks(arr: pa.Array, limit: int = 1 << 20):
     """(first row, bytes of several rows one after another, their bounds) in blocks of about limit bytes."""
     rows, size, first = [], 0, 0
     for i, t in enumerate(raw_texts(arr)):

@@ -31,7 +31,7 @@ from .segments import keyed, place, segments, squeezed, unplace, unsqueezed
 
 LENGTH, GRAM = 200, 32
 #: Different segments of a group that one task takes, and bytes that it sorts together.
-CROWD, TEXT = 8192, 1 << 21
+CROWD, TEXT = 4096, 1 << 20
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
