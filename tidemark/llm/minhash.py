@@ -35,7 +35,7 @@ SHINGLE = 5
 #: Rows of a star, and classes of a bucket's block, that one task takes at a time.
 STAR_BLOCK, PAIR_BLOCK = 256, 1024
 #: Shingles of a family's block, and tokens that its links are counted over at a time.
-BLOCK_SHINGLES, TOKENS = 1_000_000, 4096
+BLOCK_SHINGLES, SMALLEST, TOKENS = 1_000_000, 1000, 4096
 
 _A = mix(np.arange(1, POSITIONS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -161,7 +161,7 @@ def _block_links(percent: int):
         for g in by_group(batches, ["family", "x", "y"]):
             x, y, block = (g.column(n).to_numpy() for n in ("x", "y", "block"))
             ids, comp = g.column("rep").to_numpy(), g.column("component").to_numpy()
-            sets = [np.frombuffer(b, np.uint64) for b in g.column("shingles").to_pylist()]
+            sets = [np.frombuffer(b.as_buffer(), np.uint64) for b in g.column("shingles")]
             size = np.array([len(s) for s in sets])
             flat = np.concatenate(sets)
             owner = np.repeat(np.arange(len(sets)), size)
@@ -208,8 +208,8 @@ def _confirm(percent: int):
         star, own = None, np.empty(0, np.uint64)
         for batch in batches:
             a, b = [], []
-            for hub, part, centre, rep, s in zip(*(column(batch, n).to_pylist() for n in ("hub", "part", "centre", "rep", "shingles")), strict=True):
-                s = np.frombuffer(s, np.uint64)
+            for hub, part, centre, rep, s in zip(*(column(batch, n).to_pylist() for n in ("hub", "part", "centre", "rep")), column(batch, "shingles"), strict=True):
+                s = np.frombuffer(s.as_buffer(), np.uint64)
                 if not centre:
                     star, own = (hub, part), s
                     continue
@@ -245,7 +245,8 @@ def _family_links(docs: DataFrame, members: DataFrame, width: int, percent: int)
 
     A family is cut into blocks of about BLOCK_SHINGLES shingles; each pair of blocks is a group.
     """
-    total = members.groupBy("family").agg(F.ceil(F.sum("weight") / BLOCK_SHINGLES).cast("int").alias("blocks"))
+    # at least SMALLEST each, so that a block has BLOCK_SHINGLES / SMALLEST members or so at most
+    total = members.groupBy("family").agg(F.ceil(F.sum(F.greatest("weight", F.lit(SMALLEST))) / BLOCK_SHINGLES).cast("int").alias("blocks"))
     own = members.join(total, "family").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
     texts = _texts(docs).join(own, "rep").select("rep", "packed", "family", "component", "block", "blocks")
 
