@@ -18,6 +18,8 @@ from tidemark.llm.quality import classify
 from tidemark.llm.repeats import remove_repeats
 
 COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Similarity of near copies, in percent of the shingles of both.
+NEAR = 80
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -27,7 +29,7 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies, that of the smallest id."""
-    copies = near_duplicates(docs, Scratch(spark)).where("not kept").select("doc_id").distinct()
+    copies = near_duplicates(docs, Scratch(spark), percent=NEAR).where("not kept").select("doc_id").distinct()
     return docs.select(*COLUMNS).join(copies, "doc_id", "left_anti").select(*COLUMNS)
 
 

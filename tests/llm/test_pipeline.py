@@ -1,11 +1,13 @@
 """Each stage of the pipeline against a plain version, on the stage's own input."""
 
 import zlib
+from itertools import combinations
 
 import numpy as np
 import public_tokenizers
 import pytest
 from test_minhash import brute as near_brute
+from test_minhash import shingles
 from test_repeats import brute as repeat_brute
 from tokenizers import Tokenizer
 
@@ -78,3 +80,25 @@ def test_stages_take_empty_tables(spark):
     docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
     for _, stage in cp.STAGES:
         assert stage(spark, docs, SF).count() == 0
+
+
+def test_near_copies_from_080_on_are_dropped(spark):
+    """The sample table and planted pairs of 180 shared shingles of 220, against all pairs at 0.8."""
+    rng = np.random.default_rng(7)
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").distinct().collect()]
+    base = max(d for d, _ in docs) + 1
+    for k in range(60):
+        words = [f"w{k}x{i}" for i in range(204)]
+        other = list(words)
+        for i in rng.choice(np.arange(6, 198, 6), 4, replace=False):
+            other[i] = f"v{k}y{i}"
+        docs += [(base + 2 * k, " ".join(words)), (base + 2 * k + 1, " ".join(other))]
+    sets, root = [(d, shingles(t)) for d, t in docs], {d: d for d, _ in docs}
+    for (a, s), (b, t) in combinations(sets, 2):
+        if s & t and 10 * len(s & t) >= 8 * len(s | t):
+            x, y = sorted((root[a], root[b]))
+            root = {d: x if r == y else r for d, r in root.items()}
+    want = {d for d, r in root.items() if d == r}
+    assert not want & {base + 2 * k + 1 for k in range(60)}
+    df = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    assert set(rows(cp.near_dedup(spark, df, SF))) == want

@@ -2,15 +2,16 @@
 
 A document is the set of its distinct word shingles. Equal sets collapse to one class by a map-side
 aggregate, so that groups of copies cost one row. A class has a signature of 64 positions of 16
-bits; the distance of two is the number of positions that differ. Signatures within 24 positions
-are found without exception: 24 errors over 13 chunks leave a chunk with at most one (pigeonhole),
+bits; the distance of two is the number of positions that differ. Signatures within E positions
+are found without exception: E errors over E // 2 + 1 chunks leave a chunk with at most one (pigeonhole),
 and a chunk with at most one error is found by enumerating which of its positions to leave out.
+E follows from the similarity asked for (24 at 0.85, 28 at 0.80).
 
 Within a key's bucket no pairs are emitted. Each class is first compared with the bucket's smallest
 class (one row per class); linked classes merge. Only buckets that still hold several components
 are then searched for pairs across components within the distance, in blocks. All links are
-confirmed on full shingle sets. A true link lies beyond 24 positions with probability below 1e-5
-at a similarity of 0.85, and far less above.
+confirmed on full shingle sets. A true link lies beyond E positions with probability below MISS
+at the similarity asked for, and far less above.
 
 Null texts and texts without words have the empty set and no links. Rows with a null doc_id link
 with nothing, have a null component and are kept. Repeated rows give repeated rows. Other columns
@@ -19,6 +20,7 @@ of the input are ignored, an empty table gives an empty table.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -29,9 +31,9 @@ from pyspark.sql import functions as F
 from .common import Scratch, block_words, by_group, column, components, forest, mix, range_hash, text_blocks
 from .segments import squeezed, unsqueezed
 
-POSITIONS, ERRORS = 64, 24
-CHUNKS = ERRORS // 2 + 1
-SHINGLE = 5
+POSITIONS, SHINGLE = 64, 5
+#: The chance that a pair at the similarity asked for isn't found, at most.
+MISS = 5e-6
 #: Rows of a star, and classes of a bucket's block, that one task takes at a time.
 STAR_BLOCK, PAIR_BLOCK = 256, 1024
 #: Shingles of a family's block, and tokens that its links are counted over at a time.
@@ -42,8 +44,18 @@ _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
 
 
-def _bounds() -> list[np.ndarray]:
-    return np.array_split(np.arange(POSITIONS), CHUNKS)
+def errors_for(percent: int) -> int:
+    """The least number of positions that a pair of this similarity exceeds with probability MISS at most."""
+    p, beyond = 1 - percent / 100, 1.0
+    for e in range(POSITIONS):
+        beyond -= math.comb(POSITIONS, e) * p**e * (1 - p) ** (POSITIONS - e)
+        if beyond <= MISS:
+            return e
+    return POSITIONS
+
+
+def _bounds(errors: int) -> list[np.ndarray]:
+    return np.array_split(np.arange(POSITIONS), errors // 2 + 1)
 
 
 def shingle_sets(data: np.ndarray, bounds: np.ndarray, width: int) -> list[np.ndarray]:
@@ -105,53 +117,64 @@ def _describe(width: int):
     return run
 
 
-def _keys(batches):
+def _keys(errors: int):
     """The bucket keys of each class: a chunk's place, the place left out, and the other values."""
-    for batch in batches:
-        ids = column(batch, "rep").to_numpy()
-        sig = np.frombuffer(b"".join(column(batch, "sig").to_pylist()), np.uint16).reshape(-1, POSITIONS).astype(np.uint64)
-        salt = mix(np.arange(1, POSITIONS * 2 + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
-        coded = mix((sig + np.uint64(1)) * salt[:POSITIONS])
-        keys = []
-        for c, places in enumerate(_bounds()):
-            whole = coded[:, places].sum(axis=1, dtype=np.uint64)
-            for p in places:
-                keys.append(mix(whole - coded[:, p] + salt[POSITIONS + p] + np.uint64(c)))
-        yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(ids, len(keys)))], names=["key", "rep"])
-
-
-def _within_distance(batches):
-    for batch in batches:
-        a, b = (np.frombuffer(b"".join(column(batch, n).to_pylist()), np.uint16).reshape(-1, POSITIONS) for n in ("sig_a", "sig_b"))
-        near = np.count_nonzero(a != b, axis=1) <= ERRORS
-        yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    def run(batches):
+        for batch in batches:
+            ids = column(batch, "rep").to_numpy()
+            sig = np.frombuffer(b"".join(column(batch, "sig").to_pylist()), np.uint16).reshape(-1, POSITIONS).astype(np.uint64)
+            salt = mix(np.arange(1, POSITIONS * 2 + 1, dtype=np.uint64) * np.uint64(0xA0761D6478BD642F))
+            coded = mix((sig + np.uint64(1)) * salt[:POSITIONS])
+            keys = []
+            for c, places in enumerate(_bounds(errors)):
+                whole = coded[:, places].sum(axis=1, dtype=np.uint64)
+                for p in places:
+                    keys.append(mix(whole - coded[:, p] + salt[POSITIONS + p] + np.uint64(c)))
+            yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(ids, len(keys)))], names=["key", "rep"])
+
+    return run
+
+
+def _within_distance(errors: int):
+    def run(batches):
+        for batch in batches:
+            a, b = (np.frombuffer(b"".join(column(batch, n).to_pylist()), np.uint16).reshape(-1, POSITIONS) for n in ("sig_a", "sig_b"))
+            near = np.count_nonzero(a != b, axis=1) <= errors
+            yield batch.select(["a", "b"]).filter(pa.array(near))
+
+    return run
 
 
 def _edges(a, b) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(a, pa.int64()), pa.array(b, pa.int64())], names=["a", "b"])
 
 
-def _crossings(batches):
+def _crossings(errors: int):
     """Per bucket: a forest of the pairs of different components within the distance, found in blocks."""
-    for g in by_group(batches, ["key"]):
-        ids, comp = g.column("rep").to_numpy(), g.column("component").to_numpy()
-        sig = np.frombuffer(b"".join(g.column("sig").to_pylist()), np.uint16).reshape(-1, POSITIONS)
-        order = np.argsort(comp, kind="stable")
-        ids, comp, sig = ids[order], comp[order], sig[order]
-        trees: set[tuple[int, int]] = set()
-        for lo in range(0, len(ids), PAIR_BLOCK):
-            own = slice(lo, lo + PAIR_BLOCK)
-            # a row's partners come after the last row of its component
-            first = np.searchsorted(comp, comp[own], side="right")
-            for at in range(int(first.min()), len(ids), PAIR_BLOCK):
-                other = slice(at, at + PAIR_BLOCK)
-                apart = np.zeros((len(ids[own]), len(ids[other])), np.uint8)
-                for p in range(POSITIONS):
-                    apart += sig[own, p, None] != sig[None, other, p]
-                i, j = np.nonzero((apart <= ERRORS) & (np.arange(at, at + len(ids[other])) >= first[:, None]))
-                if len(i):
-                    trees = forest(np.concatenate([ids[own][i], [a for a, _ in trees]]).astype(np.int64), np.concatenate([ids[other][j], [b for _, b in trees]]).astype(np.int64))
-        yield _edges([a for a, _ in trees], [b for _, b in trees])
+
+    def run(batches):
+        for g in by_group(batches, ["key"]):
+            ids, comp = g.column("rep").to_numpy(), g.column("component").to_numpy()
+            sig = np.frombuffer(b"".join(g.column("sig").to_pylist()), np.uint16).reshape(-1, POSITIONS)
+            order = np.argsort(comp, kind="stable")
+            ids, comp, sig = ids[order], comp[order], sig[order]
+            trees: set[tuple[int, int]] = set()
+            for lo in range(0, len(ids), PAIR_BLOCK):
+                own = slice(lo, lo + PAIR_BLOCK)
+                # a row's partners come after the last row of its component
+                first = np.searchsorted(comp, comp[own], side="right")
+                for at in range(int(first.min()), len(ids), PAIR_BLOCK):
+                    other = slice(at, at + PAIR_BLOCK)
+                    apart = np.zeros((len(ids[own]), len(ids[other])), np.uint8)
+                    for p in range(POSITIONS):
+                        apart += sig[own, p, None] != sig[None, other, p]
+                    i, j = np.nonzero((apart <= errors) & (np.arange(at, at + len(ids[other])) >= first[:, None]))
+                    if len(i):
+                        trees = forest(np.concatenate([ids[own][i], [a for a, _ in trees]]).astype(np.int64), np.concatenate([ids[other][j], [b for _, b in trees]]).astype(np.int64))
+            yield _edges([a for a, _ in trees], [b for _, b in trees])
+
+    return run
 
 
 def _block_links(percent: int):
@@ -263,13 +286,14 @@ def _family_links(docs: DataFrame, members: DataFrame, width: int, percent: int)
 
 def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = SHINGLE, percent: int = 85) -> DataFrame:
     """One row per row of docs: doc_id, n_shingles, component_id, kept."""
+    errors = errors_for(percent)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     base = scratch.keep(docs.mapInArrow(_describe(width), "doc_id long, n_shingles long, h1 long, h2 long, sig binary"), "base")
     same = ["n_shingles", "h1", "h2"]
     classes = base.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min_by("sig", "doc_id").alias("sig"), F.min("doc_id").alias("rep"))
     classes = scratch.keep(classes, "classes")
     sigs = classes.select("rep", "sig")
-    keys = sigs.mapInArrow(_keys, "key long, rep long")
+    keys = sigs.mapInArrow(_keys(errors), "key long, rep long")
     hubs = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
     # written, so that the join's sides are plain shuffles, whose hot partitions Spark splits
     hubs = scratch.keep(hubs.select("key", "hub"), "hubs")
@@ -278,7 +302,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = SHINGLE, per
 
     def near(pairs: DataFrame) -> DataFrame:
         pairs = pairs.join(sigs.toDF("a", "sig_a"), "a").join(sigs.toDF("b", "sig_b"), "b")
-        return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(_within_distance, "a long, b long")
+        return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(_within_distance(errors), "a long, b long")
 
     stars = scratch.keep(near(members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()), "stars")
     links = scratch.keep(_links(docs, stars, width, percent), "links")
@@ -290,7 +314,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = SHINGLE, per
     placed = placed.withColumn("component", F.coalesce("component", "rep"))
     open_ = placed.groupBy("key").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count(F.lit(1)).alias("n")).where("lo <> hi and n > 2")
     crowd = placed.join(open_.select("key"), "key").join(sigs, "rep").select("key", "rep", "component", "sig")
-    crossing = crowd.repartition("key").sortWithinPartitions("key").mapInArrow(_crossings, "a long, b long").distinct()
+    crossing = crowd.repartition("key").sortWithinPartitions("key").mapInArrow(_crossings(errors), "a long, b long").distinct()
     crossing = scratch.keep(crossing, "crossing")
     scratch.drop("members", "stars", "hubs")
     scratch.release()
