@@ -68,3 +68,19 @@ def test_nulls_repeats_clashing_names_and_an_empty_table(spark):
     assert sorted(r.mix_tokens for r in got) == [0, 2, 2, 200_000]
     assert len({r.mix_kept for r in got if r.doc_id == 1}) == 1
     assert mix(df.limit(0), Scratch(spark)).count() == 0
+
+
+def test_every_source_has_a_target_of_its_own(spark):
+    """Equal sources are kept alike, however many there are."""
+    rows = [(i, "word " * 10, "en", f"s{i % 400:03d}") for i in range(800)]
+    got = mix(spark.createDataFrame(rows, "doc_id long, text string, lang string, source string"), Scratch(spark), budget=0.3).collect()
+    assert len(got) == 800 and all(np.isclose(r.mix_probability, 0.3) for r in got)
+
+
+@pytest.mark.parametrize("targets", [None, {"source": {"s0": 0.6, "s1": 0.2, "absent": 1.0}}])
+def test_cells_in_spark_have_the_probabilities_of_the_driver(spark, targets):
+    rng = np.random.default_rng(3)
+    rows = [(i, "word " * int(rng.integers(0, 30)), None if rng.random() < 0.3 else "en", f"s{int(rng.integers(0, 5) * rng.random())}", int(rng.integers(0, 2))) for i in range(300)]
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, topic int")
+    one, two = ({r.doc_id: r.mix_probability for r in mix(df, Scratch(spark), targets, budget=0.5, columns=["doc_id"], on_driver=n).collect()} for n in (1000, 0))
+    assert set(one) == set(two) and max(abs(one[i] - two[i]) for i in one) < 1e-8
