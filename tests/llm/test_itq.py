@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 
 from tidemark.llm.common import Scratch
-from tidemark.llm.itq import codes, learn, near_vectors
+from tidemark.llm.itq import bits_apart, chunks, codes, fitted, learn, near_vectors
 
 
 def brute(rows, cosine=0.95):
@@ -72,3 +72,31 @@ def test_edge_tables(spark, rows):
     assert len(got) == len(rows)
     for r in got:
         assert r.kept and r.component_id == r.vec_id
+
+
+def shifted(n, offset, dims=64, seed=5):
+    """Vectors with a common direction; the second half at cosines 0.95 to 0.98 from the first."""
+    rng = np.random.default_rng(seed)
+    x = rng.standard_normal((n, dims)) + offset * np.ones(dims)
+    x /= np.linalg.norm(x, axis=1)[:, None]
+    away = rng.standard_normal((n, dims))
+    away -= (away * x).sum(1)[:, None] * x
+    away /= np.linalg.norm(away, axis=1)[:, None]
+    c = rng.uniform(0.951, 0.98, n)[:, None]
+    return np.concatenate([x, c * x + np.sqrt(1 - c**2) * away])
+
+
+@pytest.mark.parametrize("offset", [0, 1, 2, 3])
+def test_rotations_are_enough_for_a_common_direction(offset):
+    x = shifted(3000, offset)
+    centre, projection, rotations, radius = fitted(x[::2], 0.95, 2, 44)
+    a, b = (codes(v, centre, projection, rotations) for v in (x[:3000], x[3000:]))
+    found = (bits_apart(chunks(a), chunks(b)) <= 1).any(1) & (bits_apart(a, b).sum(1, dtype=int) <= radius)
+    assert found.mean() >= 0.97
+
+
+def test_finds_links_of_vectors_with_a_common_direction(spark):
+    rows = [(i, v.tolist()) for i, v in enumerate(shifted(300, 2))]
+    got = {r.vec_id: r.n_links for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), Scratch(spark)).collect()}
+    want = brute(rows)
+    assert all(got[i] <= want[i][0] for i in want) and sum(got.values()) >= 0.97 * sum(w[0] for w in want.values())

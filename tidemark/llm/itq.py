@@ -2,7 +2,7 @@
 
 Equal vectors collapse to one class by a map-side aggregate. On a bounded sample (SAMPLE vectors,
 the rows of least hash) rotations are learned so that the signs of rotated, centred vectors are
-balanced bits with little quantisation loss. A code of ROTATIONS x 64 bits is cut into chunks of
+balanced bits with little quantisation loss. A code of 64 bits for each rotation is cut into chunks of
 CHUNK bits, one table each; a vector is looked up in a table under its chunk and under the chunk
 with each one bit flipped. A pair that several tables find counts in the first of them only.
 
@@ -10,7 +10,13 @@ Retrieval runs on ids and codes and keeps, for each table bucket, the members th
 within RADIUS bits of the whole code. Only for those are vectors sent, and cosines computed in
 double precision in the bucket: links are summed per vector there, and links within a bucket
 shrink to a forest, so no list of all pairs exists. A bucket too large for a task is cut into
-parts of queries. The chance to miss a pair of cosine 0.95 exactly is under 1 %, less above.
+parts of queries.
+
+Vectors that share a strong direction have wider angles once centred. So pairs at exactly the cosine
+asked for are made around sample vectors, in random directions and in those between sample vectors, and
+rotations are added, and the radius widened, until RECALL of either kind is found. Where MOST rotations
+don't reach that, codes are of vectors that aren't centred, whose bits change with the angle alone: their
+buckets are larger.
 
 Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do
 rows with a null vec_id, whose component is null. Vectors of different lengths never link. An
@@ -27,17 +33,19 @@ from pyspark.sql import functions as F
 from .common import Scratch, by_group, column, components, forest, mix
 
 COSINE, SAMPLE, ROUNDS, ROTATIONS, CHUNK, RADIUS = 0.95, 20_000, 30, 2, 16, 44
+#: Of pairs at exactly the cosine asked for, the share that the tables find; and rotations of centred vectors.
+RECALL, MOST = 0.98, 24
 #: Queries of a bucket that one task compares with all of the bucket.
 PART = 2048
 _SALT = np.uint64(0x9E3779B97F4A7C15)
 
 
-def learn(sample: np.ndarray, rotations: int = ROTATIONS, rounds: int = ROUNDS, seed: int = 11) -> tuple[np.ndarray, np.ndarray]:
+def learn(sample: np.ndarray, rotations: int = ROTATIONS, rounds: int = ROUNDS, seed: int = 11, centred: bool = True) -> tuple[np.ndarray, np.ndarray]:
     """Centre and projection (dims x bits): alternately bits from rotated data and the best rotation for the bits."""
     dims = sample.shape[1]
     bits = min(64, dims)
     rng = np.random.default_rng(seed)
-    centre = sample.mean(0) if len(sample) else np.zeros(dims)
+    centre = sample.mean(0) if len(sample) and centred else np.zeros(dims)
     x = sample - centre
     _, axes = np.linalg.eigh(x.T @ x + 1e-9 * np.eye(dims))
     axes = axes[:, ::-1][:, :bits]
@@ -70,6 +78,39 @@ def bits_apart(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return np.bitwise_count(a ^ b)
 
 
+def pairs_at(sample: np.ndarray, cosine: float, n: int = 2000, seed: int = 12) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Sample vectors and others at exactly the cosine from them: in any direction, and as sample vectors differ."""
+    rng = np.random.default_rng(seed)
+    pick = lambda: sample[rng.integers(0, len(sample), n)]
+    out = []
+    for away in (rng.standard_normal((n, sample.shape[1])), pick() - pick()) if len(sample) else ():
+        x = pick()
+        away = away - (away * x).sum(1)[:, None] * x
+        size = np.linalg.norm(away, axis=1)
+        some = size > 1e-6
+        if some.any():
+            x, away = x[some], away[some] / size[some, None]
+            out.append((x, cosine * x + np.sqrt(1 - cosine**2) * away))
+    return out
+
+
+def fitted(sample: np.ndarray, cosine: float, rotations: int, radius: int) -> tuple[np.ndarray, np.ndarray, int, int]:
+    """Centre, projection, rotations and radius that find RECALL of the pairs at the cosine."""
+    pairs, bits = pairs_at(sample, cosine), min(64, sample.shape[1])
+    for centred, most in ((True, rotations), (True, MOST), (False, MOST)):
+        centre, projection = learn(sample, most, centred=centred)
+        coded = [(codes(x, centre, projection, most), codes(y, centre, projection, most)) for x, y in pairs]
+        for r in range(rotations, most + 1):
+            found, reach = [], radius * r // rotations
+            for a, b in coded:
+                apart = bits_apart(a[:, :r], b[:, :r]).sum(1, dtype=np.int64)
+                reach = max(reach, int(np.quantile(apart, 0.999)))
+                found.append(float((bits_apart(chunks(a[:, :r]), chunks(b[:, :r])) <= 1).any(1).mean()))
+            if min(found, default=1.0) >= RECALL:
+                return centre, projection[:, : r * bits], r, reach
+    return centre, projection, most, reach
+
+
 def unit_rows(arr: pa.Array) -> tuple[np.ndarray, dict[int, np.ndarray]]:
     """Per row its length or -1 if it can't link, and by length the unit vectors of those rows."""
     rows = arr.to_pylist()
@@ -104,7 +145,7 @@ def _units(batches):
         yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep], pa.int64()), pa.array([int(size[i]) for i in keep], pa.int32()), pa.array(vectors, pa.binary())], names=["vec_id", "dims", "unit"])
 
 
-def _lookups(models: dict[int, tuple[np.ndarray, np.ndarray]], rotations: int):
+def _lookups(models: dict[int, tuple[np.ndarray, np.ndarray, int]], rotations: int):
     """(key, rep, query, c0..): the bucket of each chunk, and as a query those one flip away as well."""
 
     def run(batches):
@@ -113,7 +154,7 @@ def _lookups(models: dict[int, tuple[np.ndarray, np.ndarray]], rotations: int):
             for n in np.unique(dims):
                 at = np.flatnonzero(dims == n)
                 x = np.frombuffer(b"".join(unit.take(pa.array(at)).to_pylist()), np.float64).reshape(len(at), n)
-                code = codes(x, *models[int(n)], rotations)
+                code = codes(x, *models[int(n)])
                 keys, query = [], []
                 for t, c in enumerate(chunks(code).T):
                     place = np.uint64(t) + np.uint64(n) * np.uint64(1 << 20)
@@ -123,7 +164,8 @@ def _lookups(models: dict[int, tuple[np.ndarray, np.ndarray]], rotations: int):
                         query.append(len(keys) % (CHUNK + 2) != 1)
                 k = len(keys)
                 cols = [pa.array(np.concatenate(keys).view(np.int64)), pa.array(np.tile(ids[at], k)), pa.array(np.repeat(np.array(query), len(at)))]
-                cols += [pa.array(np.tile(code[:, r].view(np.int64), k)) for r in range(rotations)]
+                code = np.pad(code, ((0, 0), (0, rotations - code.shape[1])))
+                cols += [pa.array(np.tile(np.ascontiguousarray(code[:, r]).view(np.int64), k)) for r in range(rotations)]
                 yield pa.RecordBatch.from_arrays(cols, names=["key", "rep", "query", *(f"c{r}" for r in range(rotations))])
 
     return run
@@ -171,7 +213,7 @@ def _meet(rotations: int, radius: int):
     return run
 
 
-def _rerank(rotations: int, cosine: float, models):
+def _rerank(cosine: float, models):
     """Per bucket part: each query's weight of links that this table finds first, and a forest of its links."""
 
     def run(batches):
@@ -180,9 +222,9 @@ def _rerank(rotations: int, cosine: float, models):
             if not len(qi) or not len(ei):
                 continue
             n = int(qd[0])
-            table = _table_of(int(g.column("key")[0].as_py()), n, qu, ei, eu, models, rotations)
+            table = _table_of(int(g.column("key")[0].as_py()), n, qu, ei, eu, models)
             qx, ex = (np.frombuffer(b"".join(u), np.float64).reshape(-1, n) for u in (qu, eu))
-            qc, ec = (chunks(codes(x, *models[n], rotations)) for x in (qx, ex))
+            qc, ec = (chunks(codes(x, *models[n])) for x in (qx, ex))
             degree, root = np.zeros(len(qi), np.int64), qi.copy()
             trees = set()
             for lo in range(0, len(ei), PART):
@@ -206,10 +248,10 @@ def _rerank(rotations: int, cosine: float, models):
     return run
 
 
-def _table_of(key: int, dims: int, qu, ei, eu, models, rotations: int) -> int:
+def _table_of(key: int, dims: int, qu, ei, eu, models) -> int:
     """Which table a bucket's key belongs to: that whose chunk of an entry hashes to it."""
     x = np.frombuffer(eu[0], np.float64).reshape(1, dims)
-    c = chunks(codes(x, *models[dims], rotations))[0]
+    c = chunks(codes(x, *models[dims]))[0]
     t = np.arange(len(c), dtype=np.uint64)
     keys = mix((c << np.uint64(40)) + t + np.uint64(dims) * np.uint64(1 << 20) + _SALT).view(np.int64)
     return int(np.flatnonzero(keys == key)[0])
@@ -222,10 +264,12 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, cosine: float = COSINE, r
     members = scratch.keep(units.withColumn("class", F.xxhash64("unit")).withColumn("class2", F.xxhash64(F.lit(7), "unit")), "members")
     classes = members.groupBy("class", "class2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("dims").alias("dims"), F.first("unit").alias("unit"))
     classes = scratch.keep(classes, "classes")
-    models = {}
+    models, start, widest = {}, rotations, radius
     for n in sorted(r.dims for r in classes.select("dims").distinct().limit(1000).collect()):
         some = classes.where(F.col("dims") == n).orderBy("class", "class2").limit(sample).select("unit").collect()
-        models[n] = learn(np.frombuffer(b"".join(r.unit for r in some), np.float64).reshape(-1, n), rotations)
+        *models[n], reach = fitted(np.frombuffer(b"".join(r.unit for r in some), np.float64).reshape(-1, n), cosine, start, radius)
+        widest = max(widest, reach)
+    rotations = max((m[2] for m in models.values()), default=start)
     code_cols = [f"c{r}" for r in range(rotations)]
     looked = classes.select("rep", "dims", "unit").mapInArrow(_lookups(models, rotations), "key long, rep long, query boolean, " + ", ".join(f"{c} long" for c in code_cols))
     looked = scratch.keep(looked, "looked")
@@ -238,10 +282,10 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, cosine: float = COSINE, r
         rows = rows.join(size, "key").withColumn("part", F.explode(own)).drop("parts")
         return rows.repartition("key", "part").sortWithinPartitions("key", "part")
 
-    met = dealt(looked).mapInArrow(_meet(rotations, radius), "key long, rep long, query boolean").distinct()
+    met = dealt(looked).mapInArrow(_meet(rotations, widest), "key long, rep long, query boolean").distinct()
     met = scratch.keep(met, "met")
     sent = dealt(met.join(classes.select("rep", "copies", "dims", "unit"), "rep"))
-    found = sent.select("key", "part", "query", "rep", "copies", "dims", "unit").mapInArrow(_rerank(rotations, cosine, models), "a long, b long, n long")
+    found = sent.select("key", "part", "query", "rep", "copies", "dims", "unit").mapInArrow(_rerank(cosine, models), "a long, b long, n long")
     found = scratch.keep(found, "found")
     degree = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     trees = scratch.keep(components(scratch, found.where("b is not null").select("a", "b"), "trees"), "roots")
