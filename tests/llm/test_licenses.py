@@ -2,7 +2,7 @@ import random
 
 import numpy as np
 
-from tidemark.llm.licenses import SIMILAR, TEMPLATES, Index, align, diagonals, grams, scan_licenses, winnow, words
+from tidemark.llm.licenses import SIMILAR, TEMPLATES, Index, align, diagonals, grams, scan, scan_licenses, winnow, words
 
 LINES = {k: v for k, v in TEMPLATES.items() if k.endswith("-line")}
 
@@ -101,3 +101,18 @@ def test_long_text_with_common_words(spark):
     text = f"{noise} {TEMPLATES['MIT']} {noise}"
     got = scan_licenses(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
     assert [(r.license, r.coverage) for r in got] == [("MIT", 1.0)]
+
+
+def names_of(text):
+    h = words(np.frombuffer(text.encode(), np.uint8))[2]
+    index = Index(TEMPLATES)
+    return [(index.names[t], m, s, e) for t, m, s, e in scan(h, index)]
+
+
+def test_short_templates_close_together_are_all_found():
+    assert [n[0] for n in names_of("(c) A Corp. All rights reserved. (c) B Ltd. All rights reserved.")] == ["Proprietary-line"] * 2
+    for name, text in LINES.items():
+        n = len(words(np.frombuffer(text.encode(), np.uint8))[0])
+        for k in (2, 3, 7):
+            assert names_of(" ".join([text] * k)) == [(name, n, i * n, (i + 1) * n) for i in range(k)]
+            assert [x[0] for x in names_of(" or ".join([text] * k))] == [name] * k

@@ -3,8 +3,9 @@
 Templates are cut into words; of the hashes of GRAM words in a row the least of each WINDOW is a
 fingerprint of the template, in an inverted index (a few hundred entries, shipped with the task).
 A document's grams that are in the index vote for a template and a diagonal; where enough votes for
-a match lie within a band, the text is aligned with the template in a band around the diagonal, which gives the words matched, the
-coverage of the template and the span in the document. A match counts from SIMILAR on, words
+a match lie within a band, the text is aligned with the
+template in a band around the diagonal, which gives the words matched, the coverage of the template and the span
+in the document. Matched words are masked, and what is left is aligned again. A match counts from SIMILAR on, words
 matched over the template's words and the document's words inserted between; of matches that
 overlap the one with more matched words stays.
 
@@ -152,6 +153,15 @@ def diagonals(votes: np.ndarray, need: int, band: int = BAND) -> list[int]:
     return out
 
 
+def apart(found: list[tuple[int, int, int, int]]) -> list[tuple[int, int, int, int]]:
+    """Of matches that overlap, the one with more matched words."""
+    kept: list[tuple[int, int, int, int]] = []
+    for f in sorted(found, key=lambda f: (-f[1], f[3] - f[2], f[0], f[2])):
+        if all(f[3] <= x[2] or f[2] >= x[3] for x in kept):
+            kept.append(f)
+    return kept
+
+
 def scan(hashes: np.ndarray, index: Index) -> list[tuple[int, int, int, int]]:
     """(template, matched, first word, last word + 1) of the matches of a document."""
     t, p, at = index.votes(hashes)
@@ -160,16 +170,24 @@ def scan(hashes: np.ndarray, index: Index) -> list[tuple[int, int, int, int]]:
         own = t == k
         template = index.words[k]
         n = len(template)
-        for diagonal in diagonals((at - p)[own], index.need[k]):
-            m, s, e = align(template, hashes, diagonal)
-            if m and m >= SIMILAR * (n + max(0, e - s - m)):
-                found.append((int(k), m, s, e))
-    found.sort(key=lambda f: (-f[1], f[3] - f[2], f[0], f[2]))
-    kept: list[tuple[int, int, int, int]] = []
-    for f in found:
-        if all(f[3] <= x[2] or f[2] >= x[3] for x in kept):
-            kept.append(f)
-    return sorted(kept, key=lambda f: f[2])
+        text, diagonal, place = hashes, (at - p)[own], at[own]
+        while True:
+            hits = []
+            for middle in diagonals(diagonal, index.need[k]):
+                m, s, e = align(template, text, middle)
+                if m and m >= SIMILAR * (n + max(0, e - s - m)):
+                    hits.append((int(k), m, s, e))
+            if not hits:
+                break
+            hits = apart(hits)
+            found += hits
+            free = np.ones(len(text), bool)
+            for _, _, s, e in hits:
+                free[s:e] = False
+            text = np.where(free, text, np.uint64(0))
+            left = free[place] & free[place + GRAM - 1]
+            diagonal, place = diagonal[left], place[left]
+    return sorted(apart(found), key=lambda f: f[2])
 
 
 def scan_licenses(docs: DataFrame, templates: dict[str, str] | None = None) -> DataFrame:
