@@ -116,3 +116,15 @@ def test_short_templates_close_together_are_all_found():
         for k in (2, 3, 7):
             assert names_of(" ".join([text] * k)) == [(name, n, i * n, (i + 1) * n) for i in range(k)]
             assert [x[0] for x in names_of(" or ".join([text] * k))] == [name] * k
+
+
+def test_a_block_put_in_or_left_out_of_a_long_notice():
+    for name in ("MIT", "Apache-2.0-notice", "BSD-2-Clause"):
+        w = TEMPLATES[name].split()
+        half = len(w) // 2
+        for size in (7, 8, 10):
+            header = [f"header{i}" for i in range(size)]
+            assert [x[0] for x in names_of(" ".join(w[:half] + header + w[half:]))] == [name]
+            got = names_of(" ".join(["before"] * 30 + w[:half] + w[half + size :] + ["after"] * 30))
+            assert [x[0] for x in got] == [name] and 30 <= got[0][2] < got[0][3] <= 30 + len(words(np.frombuffer(" ".join(w).encode(), np.uint8))[0])
+    assert names_of(" ".join(TEMPLATES["MIT"].split()[:40] + ["header"] * 60 + TEMPLATES["MIT"].split()[40:])) == []

@@ -3,8 +3,8 @@
 Templates are cut into words; of the hashes of GRAM words in a row the least of each WINDOW is a
 fingerprint of the template, in an inverted index (a few hundred entries, shipped with the task).
 A document's grams that are in the index vote for a template and a diagonal; where enough votes for
-a match lie within a band, the text is aligned with the
-template in a band around the diagonal, which gives the words matched, the coverage of the template and the span
+a match lie within a band (as wide as a match of this template may shift), the text is aligned with the
+template around the diagonal, which gives the words matched, the coverage of the template and the span
 in the document. Matched words are masked, and what is left is aligned again. A match counts from SIMILAR on, words
 matched over the template's words and the document's words inserted between; of matches that
 overlap the one with more matched words stays.
@@ -110,28 +110,32 @@ class Index:
         return self.template[at], self.place[at], np.repeat(hit, n)
 
 
-def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAND) -> tuple[int, int, int]:
-    """(words matched, first, last + 1 in text) of the alignment in a band with most matches, of
-    those the one that begins last. A template word stands at about its place plus the diagonal."""
+def align(template: np.ndarray, text: np.ndarray, diagonal: int, band: int = BAND, gap: float = 0.0) -> tuple[int, int, int]:
+    """(words matched, first, last + 1 in text) of the alignment in a band with most matches, less
+    `gap` for each word of the text between them; of those the one that begins last. A template word
+    stands at about its place plus the diagonal."""
     width = 2 * band + 1
-    before = [(0, -1)] * width  # (matches, start) by place in the band, for the template so far
-    best, end = (0, -1), -1
+    none = (0.0, -1, 0)
+    before = [none] * width  # (score, start, matches) by place in the band, for the template so far
+    best, end = none, -1
     for i, word in enumerate(template):
-        now: list[tuple[int, int]] = []
+        now: list[tuple[float, int, int]] = []
         for d in range(width):
             j = i + diagonal + d - band
-            cell = before[d + 1] if d + 1 < width else (0, -1)  # the word has no partner
+            cell = before[d + 1] if d + 1 < width else none  # the word has no partner
             if d:
-                cell = max(cell, now[d - 1])  # a word of the text has none
+                score, start, matches = now[d - 1]  # a word of the text has none
+                if score > gap:
+                    cell = max(cell, (score - gap, start, matches))
             if 0 <= j < len(text) and word == text[j]:
-                matches, start = before[d]
-                pair = (matches + 1, start if start >= 0 else j)
+                score, start, matches = before[d]
+                pair = (score + 1, start if start >= 0 else j, matches + 1)
                 if pair > best:
                     best, end = pair, j + 1
                 cell = max(cell, pair)
             now.append(cell)
         before = now
-    return *best, end
+    return best[2], best[1], end
 
 
 def diagonals(votes: np.ndarray, need: int, band: int = BAND) -> list[int]:
@@ -170,11 +174,13 @@ def scan(hashes: np.ndarray, index: Index) -> list[tuple[int, int, int, int]]:
         own = t == k
         template = index.words[k]
         n = len(template)
+        shift = int((1 / SIMILAR - 1) * n + 1e-9)  # words put in and left out, of a match
         text, diagonal, place = hashes, (at - p)[own], at[own]
         while True:
             hits = []
-            for middle in diagonals(diagonal, index.need[k]):
-                m, s, e = align(template, text, middle)
+            for middle in diagonals(diagonal, index.need[k], shift):
+                # the votes of a match lie within `shift`, so within twice that of the middle of votes around
+                m, s, e = align(template, text, middle, 2 * shift, SIMILAR)
                 if m and m >= SIMILAR * (n + max(0, e - s - m)):
                     hits.append((int(k), m, s, e))
             if not hits:
