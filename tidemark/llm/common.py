@@ -24,11 +24,16 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Rows that a Python worker takes at a time, unless the session says otherwise; texts can be long.
+BATCH_ROWS = ("spark.sql.execution.arrow.maxRecordsPerBatch", 1000)
+
+
 class Scratch:
     """Tables written to the folder that all executors share (spark.checkpoint.dir).
 
     Writing cuts lineage: a lost executor costs only the tasks of the stage at hand.
     Only where the setting is absent and Spark is local (tests) is a temporary folder used.
+    The session's Arrow batches become smaller (BATCH_ROWS) where it has no setting of its own.
     """
 
     def __init__(self, spark: SparkSession):
@@ -37,6 +42,8 @@ class Scratch:
             if not spark.sparkContext.master.startswith("local"):
                 raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
             base = tempfile.mkdtemp(prefix="tidemark-")
+        if spark.conf.get(BATCH_ROWS[0], None) in (None, "10000"):  # unset, or the default
+            spark.conf.set(*BATCH_ROWS)
         self.spark, self.base = spark, f"{base.rstrip('/')}/tidemark-{uuid.uuid4().hex}"
         atexit.register(self.clear)
 
