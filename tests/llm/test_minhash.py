@@ -6,6 +6,7 @@ import numpy as np
 from tidemark.llm.common import Scratch, components
 from tidemark.llm.minhash import near_duplicates, shingle_sets, signatures
 
+OWN = ["original", "uid"]
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 
 
@@ -58,13 +59,13 @@ def test_equals_brute_force(spark):
     for seed in (1, 2):
         rows = fixture(seed)
         df = spark.createDataFrame([(d, t, "x", 1) for d, t in rows], "doc_id long, text string, component_id string, n_shingles int")
-        got = sorted(tuple(r) for r in near_duplicates(df, Scratch(spark)).collect())
+        got = sorted(tuple(r) for r in near_duplicates(df, Scratch(spark)).drop(*OWN).collect())
         assert got == brute(rows)
 
 
 def test_sample_table_equals_brute_force(spark):
     df = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
-    got = sorted(tuple(r) for r in near_duplicates(df, Scratch(spark)).collect())
+    got = sorted(tuple(r) for r in near_duplicates(df, Scratch(spark)).drop(*OWN).collect())
     assert got == brute([(r.doc_id, r.text) for r in df.collect()])
 
 
@@ -78,7 +79,7 @@ def test_crowded_bucket_of_several_components(spark):
             t[rng.randrange(120)] = f"v{rng.random()}"
         texts.append(" ".join(t))
     rows = list(enumerate(texts))
-    got = sorted(tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark)).collect())
+    got = sorted(tuple(r) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), Scratch(spark)).drop(*OWN).collect())
     assert got == brute(rows)
 
 
@@ -107,8 +108,23 @@ def test_components_of_paths_and_stars(spark):
 
 
 def test_nulls_repeats_and_an_empty_table(spark):
-    df = spark.createDataFrame([(None, "a b c d e"), (2, "a b c d e"), (2, "a b c d e"), (1, None)], "doc_id long, text string")
-    got = sorted(tuple(r) for r in near_duplicates(df, Scratch(spark)).collect() if r.doc_id is not None)
-    assert got == [(1, 0, 1, True), (2, 1, 2, True), (2, 1, 2, True)]
-    assert near_duplicates(df, Scratch(spark)).where("doc_id is null and component_id is null and kept").count() == 1
+    df = spark.createDataFrame([(None, "a b c d e"), (2, "a b c d e"), (2, "a b c d e"), (1, None), (None, "x y"), (None, "x y")], "doc_id long, text string")
+    got = near_duplicates(df, Scratch(spark)).collect()
+    assert [(r.component_id, r.kept) for r in got if r.doc_id is None].count((None, True)) == 2
+    assert [(r.component_id, r.kept) for r in got if r.doc_id is None].count((2, False)) == 1
+    assert sorted(tuple(r)[:4] for r in got if r.doc_id is not None) == [(1, 0, 1, True), (2, 1, 2, True), (2, 1, 2, True)]
+    assert sum(r.original for r in got) == 3 and len({r.uid for r in got}) == 6
     assert near_duplicates(df.limit(0), Scratch(spark)).count() == 0
+    assert near_duplicates(df.limit(0), Scratch(spark), carry=[]).count() == 0
+
+
+def test_an_id_with_several_texts_and_a_very_long_one(spark):
+    rng = random.Random(3)
+    text = [" ".join(f"{k}{rng.random()}" for _ in range(30)) for k in "abc"]
+    long = " ".join(rng.choices("abcdefghijklmnop", k=300_000))
+    rows = [(1, text[0]), (5, text[0]), (5, text[1]), (7, text[2]), (7, text[2]), (None, text[0]), (9, text[1]), (10, long), (11, long + " z z")]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.component_id, r.kept) for r in near_duplicates(df, Scratch(spark)).collect()}
+    assert got == {(1, 1, True), (5, 1, False), (5, 5, True), (7, 7, True), (None, 1, False), (9, 5, False), (10, 10, True), (11, 10, False)}
+    left = near_duplicates(df, Scratch(spark), carry=[]).collect()
+    assert sorted((r.doc_id, r.text) for r in left) == [(1, text[0]), (5, text[1]), (7, text[2]), (10, long)]

@@ -13,9 +13,12 @@ are then searched for pairs across components within the distance, in blocks. Al
 confirmed on full shingle sets. A true link lies beyond E positions with probability below MISS
 at the similarity asked for, and far less above.
 
-Null texts and texts without words have the empty set and no links. Rows with a null doc_id link
-with nothing, have a null component and are kept. Repeated rows give repeated rows. Other columns
-of the input are ignored, an empty table gives an empty table.
+Inside, a row goes by a number of its own (uid), not by its doc_id, so that rows without doc_id and
+rows that share one are linked by their own texts. Null texts and texts without words have the
+empty set and no links. A component's id is the smallest doc_id in it, null if no row has one; `kept`
+rows are those whose doc_id is the component's, and one row of each component is its `original`: of
+smallest doc_id, nulls last. Repeated rows give repeated rows. Other columns of the input are ignored
+unless carried, an empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -37,7 +40,9 @@ MISS = 5e-6
 #: Rows of a star, and classes of a bucket's block, that one task takes at a time.
 STAR_BLOCK, PAIR_BLOCK = 256, 1024
 #: Shingles of a family's block, and tokens that its links are counted over at a time.
-BLOCK_SHINGLES, SMALLEST, TOKENS = 1_000_000, 1000, 4096
+BLOCK_SHINGLES, SMALLEST, TOKENS = 500_000, 1000, 2048
+#: Bytes of text whose sets a task holds at a time.
+TEXTS = 1 << 19
 
 _A = mix(np.arange(1, POSITIONS + 1, dtype=np.uint64) * np.uint64(0xD1B54A32D192ED03)) | np.uint64(1)
 _LOWER = np.arange(256, dtype=np.uint8)
@@ -95,11 +100,13 @@ def signatures(sets: list[np.ndarray]) -> np.ndarray:
 def _with_sets(batches: Iterator[pa.RecordBatch], width: int):
     for batch in batches:
         texts = column(batch, "text") if "text" in batch.schema.names else pa.array(list(unsqueezed(column(batch, "packed"))), pa.binary())
-        for first, data, bounds in text_blocks(texts):
+        for first, data, bounds in text_blocks(texts, TEXTS):
             yield batch.slice(first, len(bounds) - 1), shingle_sets(data, bounds, width)
 
 
-def _describe(width: int):
+def _describe(width: int, carry: list[str]):
+    names = ["doc_id", "text", *carry, "n_shingles", "h1", "h2", "sig"]
+
     def run(batches):
         for rows, sets in _with_sets(batches, width):
             full = [i for i, s in enumerate(sets) if len(s)]
@@ -110,8 +117,8 @@ def _describe(width: int):
                     sig[i] = s.tobytes()
                     h1[i], h2[i] = sets[i].sum(dtype=np.uint64), np.bitwise_xor.reduce(mix(sets[i]))
             yield pa.RecordBatch.from_arrays(
-                [column(rows, "doc_id").cast(pa.int64()), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(sig, pa.binary())],
-                names=["doc_id", "n_shingles", "h1", "h2", "sig"],
+                [*(column(rows, n) for n in names[:-4]), pa.array([len(s) for s in sets], pa.int64()), pa.array(h1.view(np.int64)), pa.array(h2.view(np.int64)), pa.array(sig, pa.binary())],
+                names=names,
             )
 
     return run
@@ -194,16 +201,16 @@ def _block_links(percent: int):
             some = n[token] > 1
             token, owner = common[token[some]], owner[some]
             left, right = np.flatnonzero(block == x[0]), np.flatnonzero(block == y[0])
-            both = np.zeros((len(left), len(right)), np.float32)
+            both = np.zeros((len(left), len(right)), np.int64)
             order = np.argsort(token, kind="stable")
             token, owner = token[order], owner[order]
             for lo in range(0, int(token[-1]) + 1 if len(token) else 0, TOKENS):
                 part = slice(*np.searchsorted(token, [lo, lo + TOKENS]))
                 grid = np.zeros((len(sets), TOKENS), np.float32)
                 grid[owner[part], token[part] - lo] = 1
-                both += grid[left] @ grid[right].T
+                both += (grid[left] @ grid[right].T).astype(np.int64)  # counts up to TOKENS are exact
             union = size[left][:, None] + size[right][None, :] - both
-            i, j = np.nonzero((both > 0) & (100.0 * both >= float(percent) * union) & (comp[left][:, None] != comp[right][None, :]))
+            i, j = np.nonzero((both > 0) & (100 * both >= percent * union) & (comp[left][:, None] != comp[right][None, :]))
             trees = forest(ids[left][i], ids[right][j])
             yield _edges([a for a, _ in trees], [b for _, b in trees])
 
@@ -246,24 +253,24 @@ def _confirm(percent: int):
     return run
 
 
-def _texts(docs: DataFrame) -> DataFrame:
+def _texts(base: DataFrame) -> DataFrame:
     """Compressed texts, to be joined by merging at any size."""
-    docs = docs.select(F.lit(0).cast("long").alias("row"), "doc_id", "text")
-    return squeezed(docs).select(F.col("doc_id").alias("rep"), "packed").hint("merge")
+    rows = base.select(F.lit(0).cast("long").alias("row"), F.col("uid").alias("doc_id"), "text")
+    return squeezed(rows).select(F.col("doc_id").alias("rep"), "packed").hint("merge")
 
 
-def _links(docs: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
+def _links(base: DataFrame, pairs: DataFrame, width: int, percent: int) -> DataFrame:
     """The pairs (a, b) of classes whose full sets are similar enough. A star of many rows is cut into parts."""
     stars = pairs.groupBy("a").agg(F.count(F.lit(1)).alias("n")).select("a", F.ceil(F.col("n") / STAR_BLOCK).cast("int").alias("n_parts"))
     hubs = stars.select(F.col("a").alias("rep"), F.col("a").alias("hub"), F.explode(F.sequence(F.lit(0), F.col("n_parts") - 1)).alias("part"), F.lit(0).alias("centre"))
     leaves = pairs.join(stars, "a").select(F.col("b").alias("rep"), F.col("a").alias("hub"), F.pmod(F.xxhash64("b"), "n_parts").cast("int").alias("part"), F.lit(1).alias("centre"))
     wanted = hubs.unionByName(leaves).groupBy("rep").agg(F.collect_list("hub").alias("hubs"), F.collect_list("part").alias("parts"), F.collect_list("centre").alias("centre"))
-    texts = _texts(docs).join(wanted, "rep").select("rep", "packed", "hubs", "parts", "centre")
+    texts = _texts(base).join(wanted, "rep").select("rep", "packed", "hubs", "parts", "centre")
     sent = texts.mapInArrow(_send_sets(width), "hub long, part int, centre int, rep long, shingles binary")
     return sent.repartition("hub", "part").sortWithinPartitions("hub", "part", "centre").mapInArrow(_confirm(percent), "a long, b long")
 
 
-def _family_links(docs: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
+def _family_links(base: DataFrame, members: DataFrame, width: int, percent: int) -> DataFrame:
     """A forest of the links within each family. members: rep, family, component, weight.
 
     A family is cut into blocks of about BLOCK_SHINGLES shingles; each pair of blocks is a group.
@@ -271,7 +278,7 @@ def _family_links(docs: DataFrame, members: DataFrame, width: int, percent: int)
     # at least SMALLEST each, so that a block has BLOCK_SHINGLES / SMALLEST members or so at most
     total = members.groupBy("family").agg(F.ceil(F.sum(F.greatest("weight", F.lit(SMALLEST))) / BLOCK_SHINGLES).cast("int").alias("blocks"))
     own = members.join(total, "family").withColumn("block", F.pmod(F.xxhash64("rep"), "blocks").cast("int"))
-    texts = _texts(docs).join(own, "rep").select("rep", "packed", "family", "component", "block", "blocks")
+    texts = _texts(base).join(own, "rep").select("rep", "packed", "family", "component", "block", "blocks")
 
     def send(batches):
         for rows, sets in _with_sets(batches, width):
@@ -284,14 +291,20 @@ def _family_links(docs: DataFrame, members: DataFrame, width: int, percent: int)
     return sent.repartition("family", "x", "y").sortWithinPartitions("family", "x", "y").mapInArrow(_block_links(percent), "a long, b long")
 
 
-def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = SHINGLE, percent: int = 85) -> DataFrame:
-    """One row per row of docs: doc_id, n_shingles, component_id, kept."""
+def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = SHINGLE, percent: int = 85, carry: list[str] | None = None) -> DataFrame:
+    """One row per row of docs: doc_id, n_shingles, component_id, kept, original, uid. With carry, only the
+    originals: doc_id, text and the columns named."""
     errors = errors_for(percent)
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    base = scratch.keep(docs.mapInArrow(_describe(width), "doc_id long, n_shingles long, h1 long, h2 long, sig binary"), "base")
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text", *(carry or []))
+    schema = docs.select("*").schema
+    for n, kind in (("n_shingles", "long"), ("h1", "long"), ("h2", "long"), ("sig", "binary")):
+        schema = schema.add(n, kind)
+    base = docs.mapInArrow(_describe(width, carry or []), schema).withColumn("uid", F.monotonically_increasing_id())
+    base = scratch.keep(base, "base")
     same = ["n_shingles", "h1", "h2"]
-    classes = base.where("n_shingles > 0 and doc_id is not null").groupBy(*same).agg(F.min_by("sig", "doc_id").alias("sig"), F.min("doc_id").alias("rep"))
-    classes = scratch.keep(classes, "classes")
+    one = F.min(F.struct(F.isnull("doc_id").alias("no_id"), "doc_id", "uid")).alias("one")
+    classes = base.where("n_shingles > 0").groupBy(*same).agg(F.first("sig").alias("sig"), one)
+    classes = scratch.keep(classes.select(*same, "sig", "one.no_id", "one.doc_id", F.col("one.uid").alias("rep")), "classes")
     sigs = classes.select("rep", "sig")
     keys = sigs.mapInArrow(_keys(errors), "key long, rep long")
     hubs = keys.groupBy("key").agg(F.min("rep").alias("hub"), F.count(F.lit(1)).alias("n")).where("n > 1")
@@ -305,7 +318,7 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = SHINGLE, per
         return pairs.select("a", "b", "sig_a", "sig_b").mapInArrow(_within_distance(errors), "a long, b long")
 
     stars = scratch.keep(near(members.where("rep <> hub").select(F.col("hub").alias("a"), F.col("rep").alias("b")).distinct()), "stars")
-    links = scratch.keep(_links(docs, stars, width, percent), "links")
+    links = scratch.keep(_links(base, stars, width, percent), "links")
     found = scratch.keep(components(scratch, links, "first"), "found")
     scratch.release()
 
@@ -323,10 +336,16 @@ def near_duplicates(docs: DataFrame, scratch: Scratch, width: int = SHINGLE, per
         own = families.select(F.col("node").alias("rep"), F.col("component").alias("family"))
         own = own.join(classes.select("rep", F.col("n_shingles").alias("weight")), "rep").join(found.select(F.col("node").alias("rep"), "component"), "rep", "left")
         own = scratch.keep(own.withColumn("component", F.coalesce("component", "rep")), "own")
-        more = scratch.keep(_family_links(docs, own, width, percent), "more")
+        more = scratch.keep(_family_links(base, own, width, percent), "more")
         found = scratch.keep(components(scratch, links.unionByName(more), "second"), "final")
         scratch.release()
-    rooted = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").select(*same, F.coalesce("component", "rep").alias("component"))
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
-    out = base.join(rooted, same, "left").select("doc_id", "n_shingles", component.alias("component_id"))
-    return out.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    rooted = classes.join(found.select(F.col("node").alias("rep"), "component"), "rep", "left").withColumn("component", F.coalesce("component", "rep"))
+    rooted = scratch.keep(rooted.select(*same, "no_id", "doc_id", "rep", "component"), "rooted")
+    best = rooted.groupBy("component").agg(F.min(F.struct("no_id", "doc_id", *same, "rep")).alias("best"))
+    if carry is not None:  # only rows that aren't the original of a component leave
+        copies = base.where("n_shingles > 0").select("uid").join(best.select(F.col("best.rep").alias("uid")), "uid", "left_anti")
+        return base.select("uid", "doc_id", "text", *carry).join(copies, "uid", "left_anti").drop("uid")
+    rooted = rooted.select(*same, "component").join(best.select("component", F.col("best.doc_id").alias("component_id"), F.col("best.rep").alias("first")), "component")
+    out = base.select("uid", "doc_id", *same).join(rooted.select(*same, "component_id", "first"), same, "left")
+    out = out.select("doc_id", "n_shingles", F.when(F.col("first").isNull(), F.col("doc_id")).otherwise(F.col("component_id")).alias("component_id"), F.coalesce(F.col("uid") == F.col("first"), F.lit(True)).alias("original"), "uid")
+    return out.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "original", "uid")

@@ -66,7 +66,7 @@ def op9_html(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .minhash import near_duplicates
 
-    return near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark))
+    return near_duplicates(table(spark, sf_dir, "documents"), Scratch(spark)).drop("original", "uid")
 
 
 QUERIES = {
