@@ -28,9 +28,8 @@ def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies, that of the smallest id."""
-    copies = near_duplicates(docs, Scratch(spark), percent=NEAR).where("not kept").select("doc_id").distinct()
-    return docs.select(*COLUMNS).join(copies, "doc_id", "left_anti").select(*COLUMNS)
+    """One row of each group of near copies, that of the smallest id."""
+    return near_duplicates(docs, Scratch(spark), percent=NEAR, carry=["lang", "source", "n_chars"]).select(*COLUMNS)
 
 
 def cut_repeats(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
