@@ -48,8 +48,9 @@ def test_finds_the_links_of_brute_force(spark):
     assert got[406][0] == got[407][0] == 1 and got[407][1] == 406
 
 
-def test_recall_on_the_check_table(spark):
-    df = spark.read.parquet("/root/testdata/check_s/embeddings.parquet")
+@pytest.mark.parametrize("sf", ["sf0.01", "sf0.1"])
+def test_recall_on_the_sample_tables(spark, sf):
+    df = spark.read.parquet(f"/root/testdata/{sf}/embeddings.parquet")
     rows = sorted((r.vec_id, r.embedding) for r in df.collect())
     x = np.array([v for _, v in rows], np.float64)
     x /= np.linalg.norm(x, axis=1)[:, None]
@@ -66,6 +67,18 @@ def test_bits_are_balanced():
     assert ((bits == 0) | (np.abs(bits - 0.5) < 0.1)).all()
 
 
+def test_rows_that_share_an_id_keep_their_links(spark):
+    rows = [(1, [1.0, 0.0]), (1, [0.0, 1.0]), (2, [1.0, 0.01]), (3, [0.0, 1.0]), (4, [-1.0, -1.0]), (None, [1.0, 0.0])]
+    got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), Scratch(spark)).collect()
+    assert sorted((r.vec_id or 0, r.n_links, r.component_id) for r in got) == [(0, 0, None), (1, 1, 1), (1, 1, 1), (2, 1, 1), (3, 1, 1), (4, 0, 4)]
+
+
+def test_vectors_of_many_lengths(spark):
+    rows = [(2 * n + k, [1.0 + k / 100] + [0.5] * (n - 1)) for n in range(1, 25) for k in range(2)]
+    got = {r.vec_id: (r.n_links, r.component_id) for r in near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), Scratch(spark)).collect()}
+    assert got == {i: (1, i - i % 2) for i, _ in rows}
+
+
 @pytest.mark.parametrize("rows", [[], [(None, [1.0, 0.0]), (1, [1.0, 0.0]), (1, [1.0, 0.0])]])
 def test_edge_tables(spark, rows):
     got = near_vectors(spark.createDataFrame(rows, "vec_id long, embedding array<float>"), Scratch(spark)).collect()

@@ -19,7 +19,7 @@ def shingles(text):
     return {tuple(w[i : i + 5]) for i in range(len(w) - 4)} if len(w) >= 5 else {tuple(w)} if w else set()
 
 
-def brute(rows):
+def brute(rows, percent=85):
     sets = [(d, shingles(t)) for d, t in rows]
     root = {d: d for d, _ in rows}
 
@@ -30,7 +30,7 @@ def brute(rows):
 
     for (a, s), (b, t) in combinations(sets, 2):
         both = len(s & t)
-        if both and 100 * both >= 85 * len(s | t):
+        if both and 100 * both >= percent * len(s | t):
             x, y = sorted((find(a), find(b)))
             root[y] = x
     return sorted((d, len(s), find(d), find(d) == d) for d, s in sets)

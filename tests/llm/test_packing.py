@@ -11,21 +11,19 @@ from tidemark.llm.common import Scratch
 from tidemark.llm.packing import CapacityTree, Encoder, best_fit_plan, pack
 
 PATH = public_tokenizers.path("byte_bpe_50k.json")
-TEXTS = [None, "", "one word", "  two   spaces \n\n line", "the cat sat. " * 700, "<|endoftext|> don't", "a" * 5000, "the cat sat. " * 700, "é ü 漢字  x"]
+TEXTS = [None, "", "one word", "  two   spaces \n\n line", "the cat sat. " * 700, "<|endoftext|> don't", "a" * 5000, "the cat sat. " * 700, "a <|endoftext|> b", "é ü 漢字  x"]
 
 
 @pytest.fixture(scope="module")
 def reference():
     t = Tokenizer.from_file(PATH)
-    t.encode_special_tokens = True
     return lambda s: t.encode(s or "", add_special_tokens=False).ids
 
 
 @settings(max_examples=60, deadline=None)
-@given(st.text(alphabet=" ab\n\t'.1é <|>", max_size=40))
+@given(st.lists(st.sampled_from([*" ab\n\t'.1é <|>", "<|endoftext|>", "endoftext"]), max_size=40).map("".join))
 def test_ids_equal_those_of_the_vocabulary_file(text):
     t = Tokenizer.from_file(PATH) if not hasattr(test_ids_equal_those_of_the_vocabulary_file, "t") else test_ids_equal_those_of_the_vocabulary_file.t
-    t.encode_special_tokens = True
     test_ids_equal_those_of_the_vocabulary_file.t = t
     e = getattr(test_ids_equal_those_of_the_vocabulary_file, "e", None) or Encoder(PATH)
     test_ids_equal_those_of_the_vocabulary_file.e = e
@@ -87,5 +85,11 @@ def test_pieces_cover_every_id(spark, reference):
     assert sorted(sequences) == list(range(len(sequences)))
 
 
+def test_the_added_token_and_null_ids(spark):
+    assert np.frombuffer(Encoder(PATH)("<|endoftext|>"), "<u4").tolist() == [50256]
+    rows = pack(spark.createDataFrame([(None, "a b"), (None, None), (1, "a b")], "doc_id long, text string"), PATH, Scratch(spark)).collect()
+    assert sorted((r.doc_id or 0, r.length) for r in rows) == [(0, 1), (0, 3), (1, 3)]
+
+
 def test_an_empty_table_gives_no_rows(spark):
     assert pack(spark.createDataFrame([], "doc_id long, text string"), PATH, Scratch(spark)).count() == 0

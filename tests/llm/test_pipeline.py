@@ -44,7 +44,7 @@ def test_quality_rejects_junk_alone(spark, tables):
 
 
 def test_one_of_each_group_of_near_copies_stays(tables):
-    want = {d for d, _, _, kept in near_brute([(r.doc_id, r.text) for r in tables[1].collect()]) if kept}
+    want = {d for d, _, _, kept in near_brute([(r.doc_id, r.text) for r in tables[1].collect()], cp.NEAR) if kept}
     assert set(rows(tables[2])) == want
 
 
@@ -59,7 +59,6 @@ def test_repeats_are_cut(tables):
 
 def test_packing_holds_every_id(tables):
     t = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
-    t.encode_special_tokens = True
     pieces = {}
     for p in tables[5].collect():
         pieces.setdefault(p.doc_id, []).append(p)
@@ -102,3 +101,11 @@ def test_near_copies_from_080_on_are_dropped(spark):
     assert not want & {base + 2 * k + 1 for k in range(60)}
     df = spark.createDataFrame([(d, t, "en", "s", 1) for d, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
     assert set(rows(cp.near_dedup(spark, df, SF))) == want
+
+
+def test_near_dedup_keeps_every_other_text(spark):
+    a, b, c = (" ".join(f"{x}{i}" for i in range(40)) for x in "abc")
+    docs = [(1, a), (5, a), (5, b), (7, c), (7, c), (None, a), (None, "x y z"), (8, None), (8, "")]
+    df = spark.createDataFrame([(d, t, None, "s", 1) for d, t in docs], "doc_id long, text string, lang string, source string, n_chars long")
+    got = cp.near_dedup(spark, df, SF).collect()
+    assert sorted((r.doc_id or 0, r.text or "") for r in got) == sorted([(1, a), (5, b), (7, c), (0, "x y z"), (8, ""), (8, "")])

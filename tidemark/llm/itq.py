@@ -18,9 +18,13 @@ rotations are added, and the radius widened, until RECALL of either kind is foun
 don't reach that, codes are of vectors that aren't centred, whose bits change with the angle alone: their
 buckets are larger.
 
-Vectors that are null, empty, zero or hold null or non-finite components link with nothing, nor do
-rows with a null vec_id, whose component is null. Vectors of different lengths never link. An
-empty table gives no rows; other columns are ignored.
+A pair counts as found if its codes agree in a table but for one bit and lie within the radius as a whole:
+the same rule for links and components, whichever table it is met in.
+
+Classes have numbers of their own, so rows that share a vec_id keep their own links. Vectors that are
+null, empty, zero or hold null or non-finite components link with nothing, nor do rows with a null
+vec_id, whose component is null. Vectors of different lengths never link; each length has a model
+of its own. An empty table gives no rows; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -130,19 +134,15 @@ def unit_rows(arr: pa.Array) -> tuple[np.ndarray, dict[int, np.ndarray]]:
 
 
 def _units(batches):
-    """Only vectors that can link: their unit form as bytes."""
+    """The unit form of vectors that can link, as bytes; null of others."""
     for batch in batches:
         size, found = unit_rows(column(batch, "embedding"))
-        at = dict.fromkeys(found, 0)
-        ids, vectors = column(batch, "vec_id").to_pylist(), []
-        keep = [i for i in range(len(ids)) if size[i] > 0 and ids[i] is not None]
         at = {n: iter(v) for n, v in found.items()}
-        for i in range(len(ids)):
-            if size[i] > 0:
-                v = next(at[size[i]])
-                if ids[i] is not None:
-                    vectors.append(v.tobytes())
-        yield pa.RecordBatch.from_arrays([pa.array([ids[i] for i in keep], pa.int64()), pa.array([int(size[i]) for i in keep], pa.int32()), pa.array(vectors, pa.binary())], names=["vec_id", "dims", "unit"])
+        ids, units = column(batch, "vec_id"), []
+        for n, known in zip(size.tolist(), ids.is_valid().to_pylist(), strict=True):
+            unit = next(at[n]) if n > 0 else None
+            units.append(unit.tobytes() if n > 0 and known else None)
+        yield pa.RecordBatch.from_arrays([ids, pa.array(size, pa.int32()), pa.array(units, pa.binary())], names=["vec_id", "dims", "unit"])
 
 
 def _lookups(models: dict[int, tuple[np.ndarray, np.ndarray, int]], rotations: int):
@@ -213,7 +213,7 @@ def _meet(rotations: int, radius: int):
     return run
 
 
-def _rerank(cosine: float, models):
+def _rerank(cosine: float, models, radius: int):
     """Per bucket part: each query's weight of links that this table finds first, and a forest of its links."""
 
     def run(batches):
@@ -224,7 +224,8 @@ def _rerank(cosine: float, models):
             n = int(qd[0])
             table = _table_of(int(g.column("key")[0].as_py()), n, qu, ei, eu, models)
             qx, ex = (np.frombuffer(b"".join(u), np.float64).reshape(-1, n) for u in (qu, eu))
-            qc, ec = (chunks(codes(x, *models[n])) for x in (qx, ex))
+            q_code, e_code = (codes(x, *models[n]) for x in (qx, ex))
+            qc, ec = chunks(q_code), chunks(e_code)
             degree, root = np.zeros(len(qi), np.int64), qi.copy()
             trees = set()
             for lo in range(0, len(ei), PART):
@@ -232,6 +233,7 @@ def _rerank(cosine: float, models):
                 link = (qx @ ex[part].T >= cosine) & (qi[:, None] != ei[None, part])
                 if not link.any():
                     continue
+                link &= sum(bits_apart(q_code[:, None, r], e_code[None, part, r]).astype(np.int16) for r in range(q_code.shape[1])) <= radius
                 first = np.ones_like(link)
                 for t in range(table):
                     x = qc[:, None, t] ^ ec[None, part, t]
@@ -262,11 +264,12 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, cosine: float = COSINE, r
     ids = vectors.select(F.col("vec_id").cast("long").alias("vec_id"), "embedding")
     units = ids.mapInArrow(_units, "vec_id long, dims int, unit binary")
     members = scratch.keep(units.withColumn("class", F.xxhash64("unit")).withColumn("class2", F.xxhash64(F.lit(7), "unit")), "members")
-    classes = members.groupBy("class", "class2").agg(F.min("vec_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("dims").alias("dims"), F.first("unit").alias("unit"))
-    classes = scratch.keep(classes, "classes")
+    own = ["class", "class2"]
+    classes = members.where("unit is not null").groupBy(*own).agg(F.min("vec_id").alias("least"), F.count(F.lit(1)).alias("copies"), F.first("dims").alias("dims"), F.first("unit").alias("unit"))
+    classes = scratch.keep(classes.withColumn("rep", F.monotonically_increasing_id()), "classes")
     models, start, widest = {}, rotations, radius
-    for n in sorted(r.dims for r in classes.select("dims").distinct().limit(1000).collect()):
-        some = classes.where(F.col("dims") == n).orderBy("class", "class2").limit(sample).select("unit").collect()
+    for n in sorted(r.dims for r in classes.select("dims").distinct().collect()):
+        some = classes.where(F.col("dims") == n).orderBy(*own).limit(sample).select("unit").collect()
         *models[n], reach = fitted(np.frombuffer(b"".join(r.unit for r in some), np.float64).reshape(-1, n), cosine, start, radius)
         widest = max(widest, reach)
     rotations = max((m[2] for m in models.values()), default=start)
@@ -285,14 +288,16 @@ def near_vectors(vectors: DataFrame, scratch: Scratch, cosine: float = COSINE, r
     met = dealt(looked).mapInArrow(_meet(rotations, widest), "key long, rep long, query boolean").distinct()
     met = scratch.keep(met, "met")
     sent = dealt(met.join(classes.select("rep", "copies", "dims", "unit"), "rep"))
-    found = sent.select("key", "part", "query", "rep", "copies", "dims", "unit").mapInArrow(_rerank(cosine, models), "a long, b long, n long")
+    found = sent.select("key", "part", "query", "rep", "copies", "dims", "unit").mapInArrow(_rerank(cosine, models, widest), "a long, b long, n long")
     found = scratch.keep(found, "found")
     degree = found.where("b is null").groupBy(F.col("a").alias("rep")).agg(F.sum("n").alias("n"))
     trees = scratch.keep(components(scratch, found.where("b is not null").select("a", "b"), "trees"), "roots")
-    of_class = classes.join(degree, "rep", "left").join(trees.withColumnRenamed("node", "rep"), "rep", "left")
-    of_class = of_class.select("class", "class2", (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), F.coalesce("component", "rep").alias("component_id"))
-    linked = members.select("vec_id", "class", "class2").join(of_class, ["class", "class2"]).groupBy("vec_id").agg(F.min("n_links").alias("n_links"), F.min("component_id").alias("component_id"))
+    of_class = classes.select(*own, "rep", "least", "copies").join(degree, "rep", "left").join(trees.withColumnRenamed("node", "rep"), "rep", "left")
+    of_class = scratch.keep(of_class.withColumn("component", F.coalesce("component", "rep")), "of_class")
+    smallest = of_class.groupBy("component").agg(F.min("least").alias("component_id"))
+    of_class = of_class.join(smallest, "component").select(*own, (F.col("copies") - 1 + F.coalesce("n", F.lit(0))).alias("n_links"), "component_id")
     scratch.drop("looked", "met")
-    out = ids.select("vec_id").join(linked, "vec_id", "left")
-    out = out.select("vec_id", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), F.coalesce("component_id", "vec_id").alias("component_id"))
+    # rows that can't link have no class; they keep out of the join, which would bring them all together
+    linked = members.where("unit is not null").select("vec_id", *own).join(of_class, own).select("vec_id", "n_links", "component_id")
+    out = linked.unionByName(members.where("unit is null").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id")))
     return out.withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))

@@ -7,8 +7,9 @@ holds how many open windows have each capacity and finds the tightest one that s
 plan is a short list of ranges (length, rank of the piece among its length) -> (window, offset);
 ranks come from counts by task and length, summed in Spark. Nothing else reaches the driver.
 
-Null texts are empty: a document of the end id alone. Repeated rows are packed as often as they
-occur. An empty table gives no rows. Other columns of the input are ignored.
+Null texts are empty: a document of the end id alone. Rows with a null doc_id are packed like others.
+Repeated rows are packed as often as they occur. An empty table gives no rows. Other columns of the
+input are ignored.
 """
 
 from __future__ import annotations
@@ -111,6 +112,7 @@ class Encoder:
 
     A text is cut at single spaces between visible characters, where the vocabulary's own
     splitting always cuts as well, so that the ids of a chunk can be kept. Other texts go whole.
+    Texts that hold one of the vocabulary's added tokens are left to the tokenizers library.
     """
 
     def __init__(self, path: str):
@@ -122,8 +124,8 @@ class Encoder:
         alphabet = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(rest)}
         with open(path, encoding="utf-8") as f:
             model = json.load(f)
-        special = {t["content"] for t in model.get("added_tokens", ())}
-        ranks = {bytes(alphabet[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in special}
+        self.path, self.special, self.whole = path, [t["content"] for t in model.get("added_tokens", ())], None
+        ranks = {bytes(alphabet[c] for c in t): i for t, i in model["model"]["vocab"].items() if t not in self.special}
         self.encode = tiktoken.Encoding("bytes", pat_str=SPLIT, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
         self.renew()
 
@@ -134,6 +136,12 @@ class Encoder:
         """Little-endian unsigned 32-bit ids."""
         if not text:
             return b""
+        if any(t in text for t in self.special):
+            if self.whole is None:
+                from tokenizers import Tokenizer
+
+                self.whole = Tokenizer.from_file(self.path)
+            return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
         chunks = text.split(" ")
         if len(self.first) + len(self.later) > WORD_STORE:
             self.renew()

@@ -1,8 +1,8 @@
 """Removal of repeated byte strings (suffix-array dedup).
 
-Every window of LENGTH bytes belongs to one anchored segment (segments.py). Anchors that occur once
-hold no repeat. Where all segments of an anchor are equal, all their windows repeat; so do those of
-a segment that occurs twice. What is left, segments that share an anchor and differ, is settled on
+Every window of LENGTH bytes belongs to one anchored segment (segments.py), whose bytes have a BLAKE2
+digest. Anchors that occur once hold no repeat. Where all segments of an anchor are equal, all their
+windows repeat; so do those of a segment that occurs twice. What is left, segments that share an anchor and differ, is settled on
 the symbols: one copy of each goes, by anchor, into a text whose suffixes are sorted; breadth-first
 backward extension on its Burrows-Wheeler transform yields the boundaries between suffixes in order
 of rising common prefix, and stops at LENGTH. Rows that no boundary separates share LENGTH bytes.
@@ -31,7 +31,9 @@ from .segments import keyed, place, segments, squeezed, unplace, unsqueezed
 
 LENGTH, GRAM = 200, 32
 #: Different segments of a group that one task takes, and bytes that it sorts together.
-CROWD, TEXT = 4096, 1 << 20
+CROWD, TEXT = 2048, 1 << 19
+#: Bytes of text whose segments a task looks for at a time.
+BLOCK = 1 << 19
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
@@ -114,9 +116,11 @@ def _occurrences(length: int, gram: int):
     def run(batches):
         for batch in batches:
             row = column(batch, "row").to_numpy()
-            for first, data, bounds in text_blocks(column(batch, "text")):
-                text, a, s, start, windows, offset = segments(_BYTE[data], bounds, length, gram)
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(s.view(np.int64)), pa.array(row[first + text]), pa.array(place(start, windows, offset))], names=["a", "s", "row", "loc"])
+            for first, data, bounds in text_blocks(column(batch, "text"), BLOCK):
+                text, a, _, start, windows, offset = segments(_BYTE[data], bounds, length, gram)
+                raw, begin = data.tobytes(), bounds[text] + start
+                s = b"".join([hashlib.blake2b(raw[i:j], digest_size=8).digest() for i, j in zip(begin.tolist(), (begin + windows + length - 1).tolist(), strict=True)])
+                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(np.frombuffer(s, np.int64)), pa.array(row[first + text]), pa.array(place(start, windows, offset))], names=["a", "s", "row", "loc"])
 
     return run
 
