@@ -2,7 +2,7 @@
 
 Every window of LENGTH bytes belongs to one anchored segment (segments.py), whose bytes have a BLAKE2
 digest. Anchors that occur once hold no repeat. Where all segments of an anchor are equal, all their
-windows repeat; so do those of a segment that occurs twice. What is left, segments that share an anchor and differ, is settled on
+windows repeat; so do those of a segment that occurs twice; equal ones of a task are found there. What is left, segments that share an anchor and differ, is settled on
 the symbols: one copy of each goes, by anchor, into a text whose suffixes are sorted; breadth-first
 backward extension on its Burrows-Wheeler transform yields the boundaries between suffixes in order
 of rising common prefix, and stops at LENGTH. Rows that no boundary separates share LENGTH bytes.
@@ -32,8 +32,8 @@ from .segments import keyed, place, segments, squeezed, unplace, unsqueezed
 LENGTH, GRAM = 200, 32
 #: Different segments of a group that one task takes, and bytes that it sorts together.
 CROWD, TEXT = 2048, 1 << 19
-#: Bytes of text whose segments a task looks for at a time.
-BLOCK = 1 << 19
+#: Bytes of text whose segments a task looks for at a time, and segments that it combines.
+BLOCK, COMBINE = 1 << 19, 1 << 17
 OUT = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"
 
 
@@ -113,14 +113,33 @@ def repeated(parts: list[bytes], length: int) -> list[np.ndarray]:
 
 
 def _occurrences(length: int, gram: int):
-    def run(batches):
+    """The segments of each text. Of equal ones within a task, which all repeat (`twin`), only one is `single`
+    and goes on to be compared with those of other tasks."""
+
+    def combined(parts: list[tuple[np.ndarray, ...]]) -> pa.RecordBatch:
+        a, s, row, loc = (np.concatenate(p) for p in zip(*parts, strict=True))
+        order = np.lexsort((loc, row, s, a))
+        a, s, row, loc = (x[order] for x in (a, s, row, loc))
+        single = np.concatenate([[True], (a[1:] != a[:-1]) | (s[1:] != s[:-1])])
+        kind = np.cumsum(single) - 1
+        twin = np.bincount(kind)[kind] > 1
+        return pa.RecordBatch.from_arrays([pa.array(x) for x in (a, s, row, loc, twin, single)], names=["a", "s", "row", "loc", "twin", "single"])
+
+    def run(batches) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
         for batch in batches:
             row = column(batch, "row").to_numpy()
             for first, data, bounds in text_blocks(column(batch, "text"), BLOCK):
                 text, a, _, start, windows, offset = segments(_BYTE[data], bounds, length, gram)
                 raw, begin = data.tobytes(), bounds[text] + start
                 s = b"".join([hashlib.blake2b(raw[i:j], digest_size=8).digest() for i, j in zip(begin.tolist(), (begin + windows + length - 1).tolist(), strict=True)])
-                yield pa.RecordBatch.from_arrays([pa.array(a.view(np.int64)), pa.array(np.frombuffer(s, np.int64)), pa.array(row[first + text]), pa.array(place(start, windows, offset))], names=["a", "s", "row", "loc"])
+                held.append((a.view(np.int64), np.frombuffer(s, np.int64), row[first + text], place(start, windows, offset)))
+                size += len(a)
+                if size > COMBINE:
+                    yield combined(held)
+                    held, size = [], 0
+        if size:
+            yield combined(held)
 
     return run
 
@@ -255,17 +274,18 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram
     """One row per row of docs: doc_id, n_bytes, n_removed, n_spans, kept_sha256, kept (the bytes left), and columns to carry."""
     carry = carry or []
     docs = keyed(docs, carry)
-    occ = scratch.keep(docs.select("row", "text").mapInArrow(_occurrences(length, gram), "a long, s long, row long, loc long"), "occurrences")
-    anchors = occ.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("lo"), F.max("s").alias("hi")).where("n > 1")
+    occ = scratch.keep(docs.select("row", "text").mapInArrow(_occurrences(length, gram), "a long, s long, row long, loc long, twin boolean, single boolean"), "occurrences")
+    singles = occ.where("single").drop("single")
+    anchors = singles.groupBy("a").agg(F.count(F.lit(1)).alias("n"), F.min("s").alias("lo"), F.max("s").alias("hi")).where("n > 1")
     # written, so that the join's sides are plain shuffles, whose hot partitions Spark splits
     anchors = scratch.keep(anchors.select("a", (F.col("lo") == F.col("hi")).alias("uniform")), "anchors")
     scratch.release()
-    shared = scratch.keep(occ.join(anchors, "a"), "shared")
-    scratch.drop("occurrences", "anchors")
+    shared = scratch.keep(singles.join(anchors, "a"), "shared")
+    scratch.drop("anchors")
     scratch.release()
     mixed = shared.where("not uniform")
-    kinds = scratch.keep(mixed.groupBy("a", "s").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct("row", "loc")).alias("one")), "kinds")
-    known = mixed.join(kinds.where("n > 1").select("a", "s"), ["a", "s"]).select("row", "loc")
+    kinds = scratch.keep(mixed.groupBy("a", "s").agg((F.count(F.lit(1)) + F.max(F.col("twin").cast("int"))).alias("n"), F.min(F.struct("row", "loc")).alias("one")), "kinds")
+    known = mixed.where("not twin").join(kinds.where("n > 1").select("a", "s"), ["a", "s"]).select("row", "loc")
     wanted = kinds.select(F.col("one.row").alias("row"), F.struct("a", F.col("one.loc").alias("loc"), F.expr("n > 1").alias("known")).alias("w"))
     wanted = wanted.groupBy("row").agg(F.collect_list("w").alias("wanted"))
     parts = squeezed(docs).join(wanted, "row")
@@ -274,7 +294,7 @@ def remove_repeats(docs: DataFrame, scratch: Scratch, length: int = LENGTH, gram
     parts = scratch.keep(parts.select(*[x.split()[0] for x in PART.split(", ")]), "parts-0")
     parts, found = _split_crowds(parts, scratch, length, crowd)
     settled = parts.select("g", "row", "loc", "known", "bytes").repartition("g").sortWithinPartitions("g").mapInArrow(_settle(length), "row long, loc long")
-    places = shared.where("uniform").select("row", "loc").unionByName(known).unionByName(settled)
+    places = occ.where("twin").select("row", "loc").unionByName(shared.where("uniform").select("row", "loc")).unionByName(known).unionByName(settled)
     for f in found:
         places = places.unionByName(f)
     places = places.groupBy("row").agg(F.collect_set("loc").alias("places"))
