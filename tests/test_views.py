@@ -1,4 +1,5 @@
 import pytest
+from pyspark.errors import PySparkException
 
 from tidemark.operators import views as V
 
@@ -66,6 +67,8 @@ def test_memberships_and_ids(t):
 
 
 def test_changes_and_cascades(spark, t):
+    with pytest.raises(PySparkException, match="more than one due date of task 1"):
+        V.with_due_dates(t | {"task_due_dates": t["task_due_dates"].unionByName(t["task_due_dates"].limit(1))}).collect()
     before = V.with_due_dates(t)
     after = before.withColumns({"status": V.F.when(V.F.col("id") == 1, "DONE").when(V.F.col("id") == 2, "TODO").otherwise(V.F.col("status")), "due_date": V.F.lit(None).cast("string")})
     got = sorted((r.task_id, r.event_type, r.old, r.new) for r in V.task_changes(before, after).collect())

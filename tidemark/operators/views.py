@@ -20,7 +20,11 @@ EVENTS = {"title": "TITLE_CHANGED", "description": "DESCRIPTION_CHANGED", "prior
 
 
 def with_due_dates(t: Tables) -> DataFrame:
-    return t["tasks"].join(t["task_due_dates"].withColumnRenamed("task_id", "id"), "id", "left")
+    """Tasks with their due date, if any; fails when it is read if a task has more than one."""
+    twice = F.raise_error(F.concat(F.lit("more than one due date of task "), F.col("task_id").cast("string"))).cast("string")
+    due = t["task_due_dates"].groupBy("task_id").agg(F.count(F.lit(1)).alias("n"), F.min("due_date").alias("due_date"))
+    due = due.select(F.col("task_id").alias("id"), F.when(F.col("n") > 1, twice).otherwise(F.col("due_date")).alias("due_date"))
+    return t["tasks"].join(due, "id", "left")
 
 
 def memberships(t: Tables, user: int) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..dialect.grammar import And, Not, Or, Ref
 from ..functions.exprs import aggregate, compare, is_null, ordering
 from ..types import DataType
-from .bind import Built, Query, Slot, Test
+from .bind import Built, Query, Slot, Test, index_test
 
 
 def name(slot: Slot) -> str:
@@ -42,16 +42,21 @@ def predicate(p, negate: bool = False) -> Column:
     return compare(c, test.slot.column.type, test.op, test.value, negate)
 
 
-def scan(query: Query, k: int, rids: bool = True) -> DataFrame:
-    """A source with internal names and, if asked for, its row ordinal r<k>."""
+def scan(query: Query, k: int, rids: bool = True, below: int | None = None) -> DataFrame:
+    """A source with internal names and, if asked for, its row ordinal r<k>; an index that the predicate
+    names is read in place of the table. below: of a managed table, only ordinals below it."""
     source = query.sources[k]
     frame, rid = source.table.frame(rids)
+    if source.table.managed and not query.on and (hit := index_test(query.where, source.table.indexes)):
+        frame = source.table.index_frame(hit[0])
+    if below is not None:
+        frame = frame.where(rid < below)
     columns = [F.col(c.name).alias(f"c{k}_{i}") for i, c in enumerate(source.schema.columns)]
     return frame.select(*columns, *([rid.alias(f"r{k}")] if rids else ()))
 
 
-def filtered(query: Query, rids: bool) -> DataFrame:
-    df = scan(query, 0, rids)
+def filtered(query: Query, rids: bool, below: int | None = None) -> DataFrame:
+    df = scan(query, 0, rids, below)
     if query.on:
         left, right = query.on
         keys = F.col(name(left)) == F.col(name(right))
@@ -61,9 +66,9 @@ def filtered(query: Query, rids: bool) -> DataFrame:
     return df if query.where is None else df.where(predicate(query.where))
 
 
-def compile_query(query: Query, ordered: bool = False) -> DataFrame:
+def compile_query(query: Query, ordered: bool = False, below: int | None = None) -> DataFrame:
     sort = (ordered or query.limit is not None) and query.group != ()
-    df = filtered(query, sort)
+    df = filtered(query, sort, below)
     rids = [f"r{k}" for k in range(len(query.sources))]
     if query.group is None:
         keys = [ordering(F.col(name(s)), d) for s, d in query.order]

@@ -197,11 +197,24 @@ class Engine:
     def _collect(self, query: Query) -> QueryResult:
         columns = tuple(ResultColumn(o.label, o.type, o.nullable, o.max_length) for o in query.outputs)
         try:
-            rows = tuple(tuple(r) for r in compile_query(query, ordered=True).collect())
+            rows = tuple(tuple(r) for r in self._first(query) or compile_query(query, ordered=True).collect())
         except (Py4JJavaError, PySparkException) as e:
             raise ExecutionError(str(e).split("\n", 1)[0]) from e
         return QueryResult(columns, rows)
 
+    def _first(self, query: Query) -> list | None:
+        """The rows of a LIMIT in scan order, from the first ordinals of a managed table, 16 times as many at a time; None if all are needed."""
+        table = query.sources[0].table
+        if not query.limit or query.group is not None or query.order or query.on or not table.managed:
+            return None
+        below, end = 4 * (query.limit + query.offset) + 1024, table.entry["next_rid"]
+        while below < end:
+            rows = compile_query(query, ordered=True, below=below).collect()
+            if len(rows) == query.limit:
+                return rows
+            below *= 16
+        return None
+
     def _changeable(self, name: str) -> ManagedTable:
         table = self._source(name).table
         if not table.managed:
@@ -229,7 +242,8 @@ class Engine:
 
     @_held
     def execute_profiled(self, sql: str) -> ProfiledResult:
-        """A profile comes with a SELECT from one table; counters of trees are per file, see README."""
+        """A profile comes with a SELECT from one table. Of an index, the pages are the files that held selected
+        rows, and the leaf entries those rows."""
         s = parse(sql)
         if not isinstance(s, Select):
             return ProfiledResult(CommandResult(self._command(s)), None)
@@ -243,7 +257,7 @@ class Engine:
         hit = index_test(query.where, source.table.indexes)
         if hit:
             df = df.where(predicate(hit[1]))
-        selected = df.count()
+        selected, files = df.select(F.input_file_name().alias("file")).agg(F.count(F.lit(1)), F.count_distinct("file")).first() if hit else (df.count(), 0)
         consumed = selected
         if query.limit is not None and query.group is None and not query.order:
             consumed = self._consumed(query, df, selected)
@@ -251,7 +265,7 @@ class Engine:
             return QueryProfile("TableScan", source.name, None, None, TableScanMetrics(consumed))
         name, test = hit
         condition = Condition(test.slot.column.name, test.op, test.value)
-        return QueryProfile("IndexScan", source.name, name, condition, IndexScanMetrics(1, selected, selected, consumed))
+        return QueryProfile("IndexScan", source.name, name, condition, IndexScanMetrics(files, selected, selected, consumed))
 
     def _consumed(self, query: Query, df: DataFrame, all_rows: int) -> int:
         """Rows up to the one that fills the limit, in scan order."""

@@ -3,6 +3,10 @@
 A statement writes new files, then replaces the manifest by an atomic rename; readers stay with the
 version that they began with. Files of past versions stay until vacuum(). The manifest and the
 files may be in any Hadoop file system; the guard against a second engine is for local folders.
+
+An index is a copy of the rows sorted by its column, so that a search reads the files and row groups
+of its keys alone. It covers the folders of the snapshot that it was made from; what was inserted
+since is read beside it, and it is made anew when a folder that it covers is replaced.
 """
 
 from __future__ import annotations
@@ -15,7 +19,7 @@ from urllib.parse import urlparse
 
 from py4j.protocol import Py4JJavaError
 from pyspark.sql import Column as SparkColumn
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -25,16 +29,21 @@ from ..errors import (
     EngineError,
     IndexAlreadyExistsError,
     IndexNotFoundError,
+    NullConstraintError,
     ReservedNameError,
     RowNotFoundError,
     TableAlreadyExistsError,
     TableNotFoundError,
+    TupleSizeError,
     UnsupportedIndexTypeError,
+    ValueOutOfRangeError,
 )
 from ..functions.exprs import compare
-from ..types import NAME, Column, DataType, Schema
+from ..types import FIXED_BYTES, MAX_ROW_BYTES, NAME, Column, DataType, Schema
 
 FORMAT, MAX_DIRS, RID = 1, 64, "__rid"
+#: Folders below this size are merged when there are more than MAX_DIRS of them, into files of about FILE bytes.
+SMALL, FILE = 32 << 20, 128 << 20
 
 
 class Files:
@@ -49,6 +58,9 @@ class Files:
     def path(self, rest: str):
         return self.jvm.org.apache.hadoop.fs.Path(f"{self.root}/{rest}" if rest else self.root)
 
+    def size(self, rest: str) -> int:
+        return self.fs.getContentSummary(self.path(rest)).getLength()
+
     def exists(self, rest: str) -> bool:
         return self.fs.exists(self.path(rest))
 
@@ -107,11 +119,27 @@ class ManagedTable:
 
     def frame(self, rid: bool = True) -> tuple[DataFrame, SparkColumn]:
         """The present snapshot; later statements don't change it."""
+        return self._read(self.entry["dirs"]), F.col(RID)
+
+    def _read(self, dirs: list[str]) -> DataFrame:
         struct = T.StructType([*self.schema.struct().fields, T.StructField(RID, T.LongType())])
-        paths = [f"{self.catalog.files.root}/{d}" for d in self.entry["dirs"]]
+        paths = [f"{self.catalog.files.root}/{d}" for d in dirs]
         spark = self.catalog.spark
-        df = spark.read.schema(struct).parquet(*paths) if paths else spark.createDataFrame([], struct)
-        return df, F.col(RID)
+        return spark.read.schema(struct).parquet(*paths) if paths else spark.createDataFrame([], struct)
+
+    def index_frame(self, index: str) -> DataFrame:
+        """All rows whose indexed column isn't null, those that the index covers sorted by it."""
+        entry = next(i for i in self.catalog.manifest["indexes"] if i["table"] == self.id and i["name"].lower() == index.lower())
+        fresh = [d for d in self.entry["dirs"] if d not in entry.get("covers", ())]
+        df = self._read([*([entry["copy"]] if entry.get("copy") else ()), *fresh])
+        return df.where(F.col(self.schema.columns[entry["column"]].name).isNotNull())
+
+    def _index_copy(self, column: int, dirs: list[str]) -> dict:
+        """The rows of the folders, sorted by a column, as an index entry has it."""
+        if not dirs:
+            return {"copy": None, "covers": []}
+        c = self.schema.columns[column].name
+        return {"copy": self.write(self._read(dirs).where(F.col(c).isNotNull()).repartitionByRange(c).sortWithinPartitions(c)), "covers": dirs}
 
     def scan(self) -> list[tuple[int, tuple]]:
         df, rid = self.frame()
@@ -140,12 +168,12 @@ class ManagedTable:
         if ordinal is None:
             raise IndexNotFoundError(f"{self.name} has no index {index}")
         column = self.schema.columns[ordinal]
-        c, df = F.col(column.name), self.frame()[0]
+        c, df = F.col(column.name), self.index_frame(index)
         for bound, op in ((lower, ">=" if lower_inclusive else ">"), (upper, "<=" if upper_inclusive else "<")):
             if bound is not None:
                 column.check(bound)
                 df = df.where(compare(c, column.type, op, bound))
-        return df.where(c.isNotNull())
+        return df
 
     def insert(self, values) -> int:
         return self.insert_many([values])[0]
@@ -163,12 +191,36 @@ class ManagedTable:
         return rids
 
     def append(self, df: DataFrame) -> None:
-        """Bulk load of rows that are known to fit, in one distributed write."""
+        """Bulk load in one distributed write, which also checks the rows: all of them or none."""
         first, schema = self.entry["next_rid"], self.schema
         columns = [F.col(c.name).cast(c.type.spark).alias(c.name) for c in schema.columns]
-        where = self.write(df.select(*columns, (F.monotonically_increasing_id() + first).alias(RID)))
-        top = self.catalog.spark.read.parquet(f"{self.catalog.files.root}/{where}").agg(F.max(RID)).first()[0]
-        self.commit([*self.entry["dirs"], where], first if top is None else top + 1)
+        df = df.select(*columns, (F.monotonically_increasing_id() + first).alias(RID))
+        bytes_ = F.lit(schema.fixed_bytes())
+        faults = {"rows": F.count(F.lit(1)), "top": F.max(RID)}
+        for i, c in enumerate(schema.columns):
+            v = F.col(c.name)
+            if not c.nullable:
+                faults[f"null{i}"] = F.count_if(v.isNull())
+            if c.max_length is not None:
+                faults[f"long{i}"] = F.count_if(F.char_length(v) > c.max_length)
+            size = F.lit(FIXED_BYTES[c.type]) if c.type in FIXED_BYTES else F.octet_length(v) + 2
+            bytes_ += F.when(v.isNull(), 0).otherwise(size)
+        faults["size"] = F.max(bytes_)
+        seen = Observation()
+        where = self.write(df.observe(seen, *(f.alias(n) for n, f in faults.items())))
+        found = seen.get
+        try:
+            for i, c in enumerate(schema.columns):
+                if found.get(f"null{i}"):
+                    raise NullConstraintError(f"{c.name} takes no NULL")
+                if found.get(f"long{i}"):
+                    raise ValueOutOfRangeError(f"{c.name} holds at most {c.max_length} characters")
+            if (found["size"] or 0) > MAX_ROW_BYTES:
+                raise TupleSizeError(f"a row takes {found['size']} bytes; {MAX_ROW_BYTES} are allowed")
+        except EngineError:
+            self.catalog.files.delete(where)
+            raise
+        self.commit([*self.entry["dirs"], where], found["top"] + 1 if found["rows"] else first)
 
     def write(self, df: DataFrame) -> str:
         where = f"tables/{self.id}/{uuid.uuid4().hex}"
@@ -176,11 +228,21 @@ class ManagedTable:
         return where
 
     def commit(self, dirs: list[str], next_rid: int | None = None) -> None:
-        if len(dirs) > MAX_DIRS:  # keep the number of small files down
-            struct = T.StructType([*self.schema.struct().fields, T.StructField(RID, T.LongType())])
-            paths = [f"{self.catalog.files.root}/{d}" for d in dirs]
-            dirs = [self.write(self.catalog.spark.read.schema(struct).parquet(*paths).coalesce(max(1, len(dirs) // MAX_DIRS)))]
-        self.catalog.change(lambda m: m["tables"][str(self.id)].update(dirs=dirs, **({} if next_rid is None else {"next_rid": next_rid})))
+        if len(dirs) > MAX_DIRS:  # keep the number of small files down; large ones stay as they are
+            size = {d: self.catalog.files.size(d) for d in dirs}
+            small = [d for d in dirs if size[d] < SMALL]
+            if len(small) > MAX_DIRS // 2:
+                merged = self._read(small).coalesce(1 + sum(size[d] for d in small) // FILE)
+                dirs = [*(d for d in dirs if size[d] >= SMALL), self.write(merged)]
+        own = [i for i in self.catalog.manifest["indexes"] if i["table"] == self.id]
+        stale = {i["id"]: self._index_copy(i["column"], dirs) for i in own if not set(i.get("covers", ())) <= set(dirs)}
+
+        def edit(m):
+            m["tables"][str(self.id)].update(dirs=dirs, **({} if next_rid is None else {"next_rid": next_rid}))
+            for i in m["indexes"]:
+                i.update(stale.get(i["id"], {}))
+
+        self.catalog.change(edit)
 
 
 class Catalog:
@@ -291,7 +353,7 @@ class Catalog:
         self.files.delete(f"tables/{table.id}")
 
     def create_index(self, index: str, name: str, column: str) -> None:
-        """Metadata alone: Parquet statistics do the pruning, the entry names the access path."""
+        """A copy of the rows, sorted by the column."""
         table = self.get(name)
         if not NAME.fullmatch(index) or index.startswith("_"):
             raise ReservedNameError(f"{index!r} is no index name")
@@ -301,8 +363,10 @@ class Catalog:
         if table.schema.columns[ordinal].type is DataType.FLOAT:
             raise UnsupportedIndexTypeError("a FLOAT column takes no index")
 
+        copy = table._index_copy(ordinal, table.entry["dirs"])
+
         def edit(m):
-            m["indexes"].append({"id": m["next_id"], "name": index, "table": table.id, "column": ordinal})
+            m["indexes"].append({"id": m["next_id"], "name": index, "table": table.id, "column": ordinal, **copy})
             m["next_id"] += 1
 
         self.change(edit)
@@ -312,6 +376,7 @@ class Catalog:
         gone = 0
         for key in self.files.names("tables"):
             live = {d.rsplit("/", 1)[1] for d in self.manifest["tables"].get(key, {}).get("dirs", ())}
+            live |= {i["copy"].rsplit("/", 1)[1] for i in self.manifest["indexes"] if str(i["table"]) == key and i.get("copy")}
             for d in self.files.names(f"tables/{key}"):
                 if d not in live:
                     self.files.delete(f"tables/{key}/{d}")
