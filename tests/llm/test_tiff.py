@@ -57,3 +57,22 @@ def test_texts_read_back_whole(spark):
         assert (r.n_bytes, r.payload_bytes) == (len(raw), len(padded))
         assert r.payload_sha256 == hashlib.sha256(padded).hexdigest() and r.tail_crc32 == zlib.crc32(padded[-16:])
     assert got[2][1:] == got[6][1:] and got[5].n_pages > 1
+
+
+def test_every_form_reads_back(spark):
+    rng = np.random.default_rng(8)
+    for k, form in enumerate(tiff.FORMS):
+        grid = rng.choice(np.frombuffer(b"etaoin \n\xc3\xa9", np.uint8), (700 + k, tiff.ROW))
+        assert np.array_equal(next(tiff.pages(tiff.write([grid], **form)))[2].reshape(grid.shape), grid)
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    want = {r.doc_id: r.text.encode() for r in docs.collect()}
+    for r in tiff.store_and_read(docs).collect():
+        raw = want[r.doc_id]
+        assert r.payload_sha256 == hashlib.sha256(raw + b" " * (-len(raw) % 192)).hexdigest()
+
+
+@pytest.mark.parametrize("tag, value", [(tiff.PREDICTOR, 3), (tiff.FILL_ORDER, 2), (tiff.BITS, 16)])
+def test_pages_that_it_cannot_undo_are_errors(tag, value):
+    fields = next(tiff.directories(tiff.write([np.zeros((4, 4), np.uint8)])))
+    with pytest.raises(ValueError):
+        tiff.samples(b"", fields | {tag: (value,)})

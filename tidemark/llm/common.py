@@ -196,7 +196,7 @@ def forest(a: np.ndarray, b: np.ndarray) -> set[tuple[int, int]]:
     return {(int(ids[i]), int(ids[r])) for i, r in enumerate(low) if i != r}
 
 
-def components(scratch: Scratch, edges: DataFrame, label: str, rounds: int = 60) -> DataFrame:
+def components(scratch: Scratch, edges: DataFrame, label: str) -> DataFrame:
     """(node, component): component is the smallest node that links reach, for every node of an edge.
 
     edges: a, b as longs. Alternating large-star and small-star steps; each round is written to
@@ -205,8 +205,9 @@ def components(scratch: Scratch, edges: DataFrame, label: str, rounds: int = 60)
     e = edges.select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).where("u <> v").distinct()
     e = scratch.keep(e, f"{label}-0")
     state = (F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(20,0)")))
-    seen = tuple(e.agg(*state).first())
-    for k in range(1, rounds + 1):
+    seen, k = tuple(e.agg(*state).first()), 0
+    while True:
+        k += 1
         both = e.unionByName(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
         low = both.groupBy("u").agg(F.min("v").alias("m")).select("u", F.least("u", "m").alias("m"))
         large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v"))
@@ -220,7 +221,5 @@ def components(scratch: Scratch, edges: DataFrame, label: str, rounds: int = 60)
             break
         seen = now
         scratch.drop(f"{label}-{k - 1}")
-    else:
-        raise RuntimeError("components did not settle")
     roots = e.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct()
     return e.select(F.col("u").alias("node"), F.col("v").alias("component")).unionByName(roots)

@@ -67,19 +67,19 @@ def described(docs: DataFrame, columns: list[str]) -> DataFrame:
     return out.withColumn("mix_topic", F.col("topic").cast("string")) if own else out
 
 
-def rake(weights: np.ndarray, cells: list[np.ndarray], targets: list[np.ndarray], rounds: int = 500, close: float = 1e-10) -> np.ndarray:
-    """Weights scaled so that the shares of each dimension's categories are its targets."""
+def rake(weights: np.ndarray, cells: list[np.ndarray], targets: list[np.ndarray], close: float = 1e-10) -> np.ndarray:
+    """Weights scaled so that the shares of each dimension's categories are its targets. Where no weights
+    meet all targets at once, the last dimension's are met, and rounds end when they change nothing more."""
     w = weights / weights.sum()
-    for _ in range(rounds):
-        worst = 0.0
+    while True:
+        worst, before = 0.0, w
         for at, target in zip(cells, targets, strict=True):
             now = np.bincount(at, w, len(target))
             scale = np.divide(target, now, out=np.ones_like(now), where=now > 0)
             worst = max(worst, float(np.abs(now - target).max()))
             w = w * scale[at]
-        if worst < close:
-            break
-    return w
+        if worst < close or np.abs(w - before).max() < close * 1e-3:
+            return w
 
 
 def probabilities(weights: np.ndarray, raked: np.ndarray, budget: float) -> np.ndarray:
@@ -138,7 +138,7 @@ def _targets_in_spark(sums: DataFrame, d: str, given: dict[str, float] | None) -
     return share.select(d, (F.col("t") / F.lit(t) if t else F.col("o") / F.lit(o)).alias("target"))
 
 
-def _cells_in_spark(sums: DataFrame, scratch: Scratch, targets: dict[str, dict[str, float]], budget: float, rounds: int = 500, close: float = 1e-10) -> DataFrame:
+def _cells_in_spark(sums: DataFrame, scratch: Scratch, targets: dict[str, dict[str, float]], budget: float, close: float = 1e-10) -> DataFrame:
     """The same by aggregates and joins; only sums reach the driver."""
     total = sums.agg(F.sum("w")).first()[0]
     if not total or budget >= 1:
@@ -153,16 +153,18 @@ def _cells_in_spark(sums: DataFrame, scratch: Scratch, targets: dict[str, dict[s
             out = out.join(factors[d], d)
         return out.withColumn("raked", F.col("share") * F.col("f_source") * F.col("f_lang") * F.col("f_topic"))
 
-    for k in range(rounds):
-        worst = 0.0
+    k, last = 0, None
+    while True:
+        k, worst = k + 1, 0.0
         for d in DIMENSIONS:
             now = raked().groupBy(d).agg(F.sum("raked").alias("now"), F.first(f"f_{d}").alias("f")).join(want[d], d)
             scaled = F.when(F.col("now") > 0, F.col("f") * F.col("target") / F.col("now")).otherwise(F.col("f"))
             step = scratch.keep(now.select(d, scaled.alias(f"f_{d}"), F.abs(F.col("now") - F.col("target")).alias("off")), f"factor-{d}-{k % 2}")
             worst = max(worst, step.agg(F.max("off")).first()[0])
             factors[d] = step.drop("off")
-        if worst < close:
+        if worst < close or worst == last:  # met, or as far from it as before: no weights meet all targets
             break
+        last = worst
     ratio = F.when(F.col("share") > 0, F.col("raked") / F.col("share")).otherwise(0.0)
     cells = scratch.keep(raked().select(*DIMENSIONS, "share", ratio.alias("ratio")), "raked")
     # the cells kept whole become more with each step, until f leaves them as they are
@@ -186,11 +188,10 @@ def mix(docs: DataFrame, scratch: Scratch, targets: dict[str, dict[str, float]]
     # the id, a stand-in for null ids, and the categories, without texts unless they are asked for
     docs = docs.withColumn("mix_key", F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text")))
     needed = [*columns, "mix_key", *(c for c in ("source", "lang") if c in docs.columns)]
-    full = described(docs, list(dict.fromkeys(needed)))
+    full = scratch.keep(described(docs, list(dict.fromkeys(needed))), "described")  # one pass over the texts
     names = {"source": "source", "lang": "lang", "topic": "mix_topic"}
     raw = {d: F.coalesce(F.col(c).cast("string"), F.lit(NULL)) if c in full.columns else F.lit(NULL) for d, c in names.items()}
-    sums = described(docs, [c for c in ("source", "lang") if c in docs.columns])
-    sums = scratch.keep(sums.select(*(raw[d].alias(d) for d in DIMENSIONS), "mix_tokens").groupBy(*DIMENSIONS).agg(F.sum("mix_tokens").alias("w")), "sums")
+    sums = scratch.keep(full.select(*(raw[d].alias(d) for d in DIMENSIONS), "mix_tokens").groupBy(*DIMENSIONS).agg(F.sum("mix_tokens").alias("w")), "sums")
     if sums.count() <= on_driver:
         table = F.broadcast(_cells_of_driver(sums, targets, budget))
     else:

@@ -2,9 +2,9 @@
 
 One view sees the text (shares of character classes and bytes, repetition, word shapes), the other
 the metadata (language, source, length). Each is a logistic model. From a bounded sample of
-labelled rows (LABELLED) both are fitted; over ROUNDS each scores a bounded pool of unlabelled rows
-(POOL), and those it is sure of (SURE, on calibrated probabilities, at most GIVE of each class a
-round) become pseudo-labels for the other. A held-out quarter of the labels then calibrates each
+labelled rows (LABELLED) both are fitted; over ROUNDS each scores every unlabelled document, and of
+those it is sure of (SURE, on calibrated probabilities) the GIVE surest of each class become
+pseudo-labels for the other, in which they stay; a task sends its own GIVE surest, whatever its size. A held-out quarter of the labels then calibrates each
 view and the weights with which the two combine; the combined model scores every document. A
 view that is never sure, since its features say little, gives no labels and gets little weight.
 
@@ -23,9 +23,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import _BYTE, SPACE, column, range_hash, raw_texts, words_of
+from .common import _BYTE, SPACE, Scratch, column, range_hash, raw_texts, words_of
 
-LABELLED, POOL, ROUNDS, GIVE, SURE, KEEP = 6000, 4000, 4, 200, 0.98, 0.5
+LABELLED, ROUNDS, GIVE, SURE, KEEP = 6000, 4, 200, 0.98, 0.5
 LANGS, SOURCES = 16, 64
 SCORES = "text_score double, meta_score double, quality_score double, quality_keep boolean"
 
@@ -88,32 +88,34 @@ def sigmoid(z: np.ndarray) -> np.ndarray:
 
 
 class CoTrained:
-    """Two calibrated views and their combination. views: features of each view by row."""
+    """Two calibrated views and their combination. labelled: features of each view by row.
 
-    def __init__(self, labelled: list[np.ndarray], y: np.ndarray, pool: list[np.ndarray], rounds: int = ROUNDS):
+    surest(model, rounds so far) gives, for each view and class, the documents it is surest of, best
+    first, as (id, label, features of either view).
+    """
+
+    def __init__(self, labelled: list[np.ndarray], y: np.ndarray, surest, rounds: int = ROUNDS):
         held = np.arange(len(y)) % 4 == 3
         if len(np.unique(y[~held])) < 2 or len(np.unique(y[held])) < 2:
             held = np.zeros(len(y), bool)  # too few labels to hold any out
         own = [[x[~held], y[~held]] for x in labelled]
-        free = np.ones(len(pool[0]), bool)
+        taken: set[int] = set()
         self.given = [0, 0]
         for k in range(rounds + 1):
             self.models = [Logistic(x, t) for x, t in own]
             self._calibrate([x[held] if held.any() else x for x in labelled], y[held] if held.any() else y)
-            if k == rounds or not free.any():
+            if k == rounds:
                 break
-            gifts = []
-            for v in (0, 1):
-                p = self.view(v, pool[v])
-                at = [np.flatnonzero(free & (p >= SURE)), np.flatnonzero(free & (p <= 1 - SURE))]
-                gifts.append([(i, label) for a, label, best in zip(at, (1.0, 0.0), (-p, p), strict=True) for i in a[np.argsort(best[a], kind="stable")][:GIVE]])
+            gifts = surest(self, taken)
             for v, gift in enumerate(gifts):
-                other = 1 - v
-                rows = [i for i, _ in gift if free[i]]
-                self.given[v] += len(rows)
-                own[other][0] = np.concatenate([own[other][0], pool[other][rows]])
-                own[other][1] = np.concatenate([own[other][1], [t for i, t in gift if free[i]]])
-                free[rows] = False
+                new = [g for g in gift if g[0] not in taken]  # a document that both are sure of counts once
+                taken |= {g[0] for g in new}
+                self.given[v] += len(new)
+                if new:
+                    own[1 - v][0] = np.concatenate([own[1 - v][0], [g[2][1 - v] for g in new]])
+                    own[1 - v][1] = np.concatenate([own[1 - v][1], [g[1] for g in new]])
+            if not any(gifts):
+                break
 
     def _calibrate(self, views: list[np.ndarray], y: np.ndarray) -> None:
         logits = [m.logit(x) for m, x in zip(self.models, views, strict=True)]
@@ -135,37 +137,70 @@ def _views(batch: pa.RecordBatch) -> list[np.ndarray]:
     return [text, np.array([meta_features(*m) for m in zip(*meta, strict=True)]).reshape(batch.num_rows, -1)]
 
 
-def train(docs: DataFrame, labels: DataFrame, labelled: int = LABELLED, pool: int = POOL, rounds: int = ROUNDS) -> CoTrained | None:
-    """A model from at most `labelled` rows with labels and `pool` rows without, by least hash of the id."""
-    marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").alias("y"))
+def surest_of(features: DataFrame, scratch: Scratch):
+    """The function that CoTrained asks; features: row, a, b (features of the views as bytes) of every document."""
+
+    def ask(model: CoTrained, taken: set[int]):
+        past = np.array(sorted(taken), np.int64)
+
+        def run(batches):
+            best: dict[tuple[int, int], list] = {(v, c): [] for v in (0, 1) for c in (0, 1)}
+            for batch in batches:
+                if not batch.num_rows:
+                    continue
+                ids = column(batch, "row").to_numpy()
+                free = ~np.isin(ids, past)
+                for v, name in enumerate("ab"):
+                    p = model.view(v, unpacked(column(batch, name)))
+                    for c, sure in ((1, p), (0, 1 - p)):
+                        at = np.flatnonzero(free & (sure >= SURE))
+                        best[v, c] = sorted({*best[v, c], *zip((-sure[at]).tolist(), ids[at].tolist(), strict=True)})[:GIVE]
+            out = [(v, c, *f) for (v, c), found in best.items() for f in found]
+            cols = list(zip(*out, strict=True)) or [()] * 4
+            kinds = [pa.int32(), pa.int32(), pa.float64(), pa.int64()]
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(cols, kinds, strict=True)], names=["view", "label", "unsure", "row"])
+
+        found = scratch.keep(features.mapInArrow(run, "view int, label int, unsure double, row long").distinct(), "surest")
+        top = [(v, c, [r.row for r in found.where((F.col("view") == v) & (F.col("label") == c)).orderBy("unsure", "row").limit(GIVE).collect()]) for v in (0, 1) for c in (1, 0)]
+        wanted = sorted({r for _, _, rows in top for r in rows})
+        views = {r.row: [unpacked([x])[0] for x in (bytes(r.a), bytes(r.b))] for r in features.where(F.col("row").isin(wanted)).dropDuplicates(["row"]).collect()} if wanted else {}
+        return [[(r, float(c), views[r]) for w, c, rows in top if w == v for r in rows] for v in (0, 1)]
+
+    return ask
+
+
+def unpacked(rows) -> np.ndarray:
+    raw = [r.as_py() if isinstance(r, pa.Scalar) else r for r in rows]
+    return np.frombuffer(b"".join(raw), np.float32).reshape(len(raw), -1).astype(float)
+
+
+def train(docs: DataFrame, labels: DataFrame, scratch: Scratch, labelled: int = LABELLED, rounds: int = ROUNDS) -> CoTrained | None:
+    """A model from at most `labelled` rows with labels, those of least hash of the id, and all others without."""
+    marks = labels.where("doc_id is not null and quality is not null").groupBy("doc_id").agg(F.max("quality").cast("int").alias("y"))
     names = [n for n in ("text", "lang", "source", "n_chars") if n in docs.columns]
-    ids = docs.select("doc_id").where("doc_id is not null").distinct()
-    order = [F.xxhash64("doc_id"), "doc_id"]
-    first = ids.join(marks, "doc_id").orderBy(*order).limit(labelled)
-    second = ids.join(marks, "doc_id", "left_anti").orderBy(*order).limit(pool).withColumn("y", F.lit(None).cast("int"))
-    chosen = first.select("doc_id", F.col("y").cast("int").alias("y")).unionByName(second)
 
     def featured(batches):
         for batch in batches:
             views = _views(batch)
-            yield pa.RecordBatch.from_arrays([column(batch, "doc_id").cast(pa.int64()), column(batch, "y"), *(pa.array([r.tobytes() for r in v.astype(np.float32)], pa.binary()) for v in views)], names=["doc_id", "y", "a", "b"])
+            yield pa.RecordBatch.from_arrays([column(batch, "row"), column(batch, "doc_id").cast(pa.int64()), *(pa.array([r.tobytes() for r in v.astype(np.float32)], pa.binary()) for v in views)], names=["row", "doc_id", "a", "b"])
 
-    rows = docs.select("doc_id", *names).join(F.broadcast(chosen), "doc_id").mapInArrow(featured, "doc_id long, y int, a binary, b binary")
-    rows = sorted({(r.doc_id, r.y if r.y is not None else -1, bytes(r.a), bytes(r.b)) for r in rows.collect()}, key=lambda r: (zlib.crc32(str(r[0]).encode()), r))
-    known, free = [r for r in rows if r[1] >= 0], [r for r in rows if r[1] < 0]
+    rows = docs.select(F.xxhash64(F.isnull("doc_id"), "doc_id", *names).alias("row"), "doc_id", *names)
+    features = scratch.keep(rows.mapInArrow(featured, "row long, doc_id long, a binary, b binary"), "features")
+    ids = features.select("doc_id").where("doc_id is not null").distinct()
+    chosen = ids.join(marks, "doc_id").orderBy(F.xxhash64("doc_id"), "doc_id").limit(labelled)
+    known = sorted({(r.doc_id, r.y, bytes(r.a), bytes(r.b), r.row) for r in features.join(F.broadcast(chosen), "doc_id").collect()}, key=lambda r: (zlib.crc32(str(r[0]).encode()), r))
     y = np.array([float(r[1] > 0) for r in known])
     if len(np.unique(y)) < 2:
         return None
-    arrays = lambda rs: [np.array([np.frombuffer(r[i], np.float32) for r in rs], float).reshape(len(rs), -1) for i in (2, 3)]
-    blank = [np.zeros((0, a.shape[1])) for a in arrays(known)]
-    return CoTrained(arrays(known), y, arrays(free) if free else blank, rounds)
+    ask, own = surest_of(features.select("row", "a", "b"), scratch), {r[4] for r in known}
+    return CoTrained([unpacked([r[i] for r in known]) for i in (2, 3)], y, lambda model, taken: ask(model, taken | own), rounds)
 
 
-def classify(docs: DataFrame, labels: DataFrame, keep: float = KEEP, columns: list[str] | None = None, **bounds: int) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, scratch: Scratch, keep: float = KEEP, columns: list[str] | None = None, **bounds: int) -> DataFrame:
     """docs (all its columns or those named) with text_score, meta_score, quality_score, quality_keep; every row is there."""
     added = [x.split()[0] for x in SCORES.split(", ")]
     docs = docs.select(*(c for c in docs.columns if c not in added))
-    model = train(docs, labels, **bounds)
+    model = train(docs, labels, scratch, **bounds)
     columns = docs.columns if columns is None else columns
     schema = docs.select(*columns).schema
     for x in SCORES.split(", "):

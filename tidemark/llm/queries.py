@@ -45,7 +45,7 @@ def op5_tiff(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op6_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     from .quality import classify
 
-    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), columns=["doc_id"])
+    return classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"), Scratch(spark), columns=["doc_id"])
 
 
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

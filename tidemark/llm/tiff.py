@@ -22,6 +22,7 @@ from .common import column, raw_texts
 
 # Fixed values of the format: tags, field sizes, compressions.
 WIDTH, HEIGHT, BITS, COMPRESSION, PHOTOMETRIC = 256, 257, 258, 259, 262
+FILL_ORDER = 266
 STRIPS, SAMPLES, STRIP_ROWS, STRIP_BYTES, PREDICTOR = 273, 277, 278, 279, 317
 TILE_WIDTH, TILE_HEIGHT, TILES, TILE_BYTES = 322, 323, 324, 325
 FIELD = {1: "B", 2: "B", 3: "H", 4: "I", 6: "b", 8: "h", 9: "i", 16: "Q"}
@@ -29,6 +30,14 @@ NONE, LZW, DEFLATE, OLD_DEFLATE, PACKBITS = 1, 5, 8, 32946, 32773
 
 #: Row width of stored payloads, and rows of a page and of a strip.
 ROW, PAGE_ROWS, STRIP = 192, 4096, 512
+#: How files are stored: strips and tiles of each compression, either byte order.
+FORMS = [
+    {"compression": DEFLATE, "predictor": 2},
+    {"compression": LZW, "predictor": 1, "strip": 64},
+    {"compression": PACKBITS, "predictor": 1, "tile": (64, 64), "order": ">"},
+    {"compression": DEFLATE, "predictor": 2, "tile": (128, 96)},
+    {"compression": LZW, "predictor": 2, "tile": (32, 192), "order": ">"},
+]
 PAGES = "id long, page int, width int, height int, channels int, compression int, samples binary, error string"
 DIGEST = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_pages int"
 
@@ -173,6 +182,10 @@ def samples(data: bytes, f: dict[int, tuple]) -> np.ndarray:
         raise ValueError("samples are not of 8 bits")
     if f.get(284, (1,))[0] != 1:
         raise ValueError("planes are stored apart")
+    if f.get(PREDICTOR, (1,))[0] not in (1, 2):
+        raise ValueError(f"predictor {f[PREDICTOR][0]} is unknown")
+    if f.get(FILL_ORDER, (1,))[0] != 1:
+        raise ValueError("bits are stored low first")
     decode = DECODE.get(f.get(COMPRESSION, (NONE,))[0])
     if decode is None:
         raise ValueError(f"compression {f[COMPRESSION][0]} is unknown")
@@ -261,9 +274,10 @@ def tiff_pages(media: DataFrame, id_col: str = "id", bytes_col: str = "media") -
 
 
 def store(payload: np.ndarray) -> bytes:
-    """Bytes, a multiple of ROW, as rows of grey pages."""
+    """Bytes, a multiple of ROW, as rows of grey pages, in one of FORMS by the bytes themselves."""
     grid = payload.reshape(-1, ROW)
-    return write([grid[y : y + PAGE_ROWS] for y in range(0, len(grid), PAGE_ROWS)])
+    form = FORMS[zlib.crc32(payload) % len(FORMS)]
+    return write([grid[y : y + PAGE_ROWS] for y in range(0, len(grid), PAGE_ROWS)], **form)
 
 
 def feature(payload: np.ndarray) -> str:
