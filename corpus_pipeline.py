@@ -24,7 +24,7 @@ NEAR = 80
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the co-trained classifier doesn't reject."""
-    return classify(docs.select(*COLUMNS), table(spark, sf_dir, "labels")).where("quality_keep").select(*COLUMNS)
+    return classify(docs.select(*COLUMNS), table(spark, sf_dir, "labels"), Scratch(spark)).where("quality_keep").select(*COLUMNS)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
