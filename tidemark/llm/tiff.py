@@ -10,6 +10,7 @@ empty file gives no rows. Repeated files give repeated rows; other columns are i
 from __future__ import annotations
 
 import hashlib
+import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -58,92 +59,96 @@ def packbits_decode(data: bytes) -> bytes:
     return bytes(out)
 
 
+_RUN = re.compile(rb"(.)\1{2,127}", re.S)
+
+
 def packbits_encode(data: bytes) -> bytes:
-    out, i, n = bytearray(), 0, len(data)
-    while i < n:
-        run = i
-        while run < n and run - i < 128 and data[run] == data[i]:
-            run += 1
-        if run - i >= 3:
-            out += bytes((257 - (run - i), data[i]))
-            i = run
-            continue
-        j = i
-        while j < n and j - i < 128 and not (j + 2 < n and data[j] == data[j + 1] == data[j + 2]):
-            j += 1
-        out.append(j - i - 1)
-        out += data[i:j]
-        i = j
+    """Runs of three and more, and what lies between them, in pieces of at most 128."""
+    out, at = bytearray(), 0
+    for start, end in [*(m.span() for m in _RUN.finditer(data)), (len(data), len(data))]:
+        for i in range(at, start, 128):
+            piece = data[i : min(i + 128, start)]
+            out.append(len(piece) - 1)
+            out += piece
+        if end > start:
+            out += bytes((257 - (end - start), data[start]))
+        at = end
     return bytes(out)
 
 
+#: Bits of the k-th code after a clear code; from FULL codes on, tables stay as they are.
+FULL = 4096
+LZW_BITS = np.array([9] + [min(12, (258 + k).bit_length()) for k in range(1, FULL)])
+
+
 def lzw_decode(data: bytes) -> bytes:
     """Codes of 9 to 12 bits, high bit first, widening one code early."""
+    bits = np.unpackbits(np.frombuffer(data, np.uint8))
     start = [bytes((i,)) for i in range(256)] + [b"", b""]
-    table, out, previous, bits, held, width = list(start), [], b"", 0, 0, 9
-    for byte in data:
-        held = (held << 8 | byte) & 0xFFFFFF
-        bits += 8
-        if bits < width:
-            continue
-        bits -= width
-        code = held >> bits & ((1 << width) - 1)
-        if code == 256:
-            table, previous, width = list(start), b"", 9
+    table, out, previous, at, k = list(start), [], b"", 0, 0
+    while True:
+        # the codes up to the next clear code have known widths
+        width = LZW_BITS[k:] if k < FULL else np.full(FULL, 12)
+        end = at + np.cumsum(width)
+        n = int(np.searchsorted(end, len(bits), side="right"))
+        if not n:
+            break
+        place = end[:n, None] - 12 + np.arange(12)
+        codes = np.where(np.arange(12) >= 12 - width[:n, None], bits[np.maximum(place, 0)], 0) @ (1 << np.arange(11, -1, -1))
+        stop = np.flatnonzero((codes == 256) | (codes == 257))
+        for code in codes[: stop[0] if len(stop) else n].tolist():
+            if code < len(table):
+                entry = table[code]
+                if previous:
+                    table.append(previous + entry[:1])
+            elif code == len(table) and previous:
+                entry = previous + previous[:1]
+                table.append(entry)
+            else:
+                raise ValueError("LZW code out of range")
+            out.append(entry)
+            previous = entry
+        if not len(stop):
+            at, k = int(end[n - 1]), k + n
             continue
-        if code == 257:
+        if codes[stop[0]] == 257:
             break
-        if not previous:
-            entry = table[code]
-        elif code < len(table):
-            entry = table[code]
-            table.append(previous + entry[:1])
-        elif code == len(table):
-            entry = previous + previous[:1]
-            table.append(entry)
-        else:
-            raise ValueError("LZW code out of range")
-        out.append(entry)
-        previous = entry
-        width = min(12, max(9, (len(table) + 1).bit_length()))
+        table, previous, at, k = list(start), b"", int(end[stop[0]]), 0
     return b"".join(out)
 
 
 def lzw_encode(data: bytes) -> bytes:
-    out, held, bits = bytearray(), 0, 0
-
-    def put(code: int, width: int) -> None:
-        nonlocal held, bits
-        held, bits = held << width | code, bits + width
-        while bits >= 8:
-            bits -= 8
-            out.append(held >> bits & 255)
-            held &= (1 << bits) - 1
-
-    table, word, width = {bytes((i,)): i for i in range(256)}, b"", 9
-    put(256, 9)
-    for i in range(len(data)):
-        longer = word + data[i : i + 1]
-        if longer in table:
-            word = longer
+    """A clear code first and whenever the table is full; strings are known by the code of all but their last byte."""
+    codes, first = [256], []  # codes, and which of them begin a table
+    emit, table, free, word = codes.append, {}, 258, -1
+    first.append(1)
+    for byte in data:
+        if word < 0:
+            word = byte
             continue
-        put(table[word], width)
-        table[longer] = len(table) + 2
-        word = data[i : i + 1]
-        size = len(table) + 2
-        width = max(9, size.bit_length())
-        if size >= 4094:
-            put(table[word], min(12, width))
-            put(256, min(12, width))
-            table, word, width = {bytes((i,)): i for i in range(256)}, b"", 9
-    if word:
-        put(table[word], width)
-        if len(table) + 3 >= 1 << width and width < 12:
-            width += 1
-    put(257, width)
-    if bits:
-        put(0, 8 - bits)
-    return bytes(out)
+        key = word << 8 | byte
+        known = table.get(key)
+        if known is not None:
+            word = known
+            continue
+        emit(word)
+        table[key] = free
+        free += 1
+        word = byte
+        if free >= 4094:
+            emit(word)
+            emit(256)
+            first.append(len(codes))
+            table, free, word = {}, 258, -1
+    if word >= 0:
+        emit(word)
+    emit(257)
+    values = np.array(codes)
+    since = np.arange(len(values)) - np.array([0, *first])[np.searchsorted(first, np.arange(len(values)), side="right")]
+    width = LZW_BITS[np.minimum(since, FULL - 1)]
+    width[0] = 9
+    shown = np.arange(12) >= 12 - width[:, None]
+    return np.packbits((values[:, None] >> np.arange(11, -1, -1) & 1).astype(np.uint8)[shown]).tobytes()
 
 
 DECODE = {NONE: bytes, PACKBITS: packbits_decode, LZW: lzw_decode, DEFLATE: zlib.decompress, OLD_DEFLATE: zlib.decompress}
