@@ -4,7 +4,7 @@ import numpy as np
 import pyarrow as pa
 import pytest
 
-from tidemark.llm.common import Scratch, block_words, by_group, forest, range_hash, raw_texts, text_blocks
+from tidemark.llm.common import BATCH_ROWS, Scratch, block_words, by_group, forest, range_hash, raw_texts, text_blocks
 
 
 class Session:
@@ -12,14 +12,22 @@ class Session:
 
     def __init__(self, spark, master, folder):
         self.spark, self.conf, self.sparkContext, self.read = spark, self, self, spark.read
+        self.given = {}
         self.master, self.folder, self._jvm, self._jsc = master, folder, spark.sparkContext._jvm, spark.sparkContext._jsc
 
     def get(self, key, default):
-        return self.folder if key == "spark.checkpoint.dir" else default
+        return self.folder if key == "spark.checkpoint.dir" else self.given.get(key, default)
+
+    def set(self, key, value):
+        self.given[key] = value
 
 
 def test_scratch_writes_where_the_session_says(spark, tmp_path):
-    s = Scratch(Session(spark, "spark://host:1", f"file://{tmp_path}"))
+    session = Session(spark, "spark://host:1", f"file://{tmp_path}")
+    s = Scratch(session)
+    assert session.given == {BATCH_ROWS[0]: BATCH_ROWS[1]}
+    session.given = {BATCH_ROWS[0]: "77"}  # a session's own setting stays
+    assert Scratch(session).base and session.given == {BATCH_ROWS[0]: "77"}
     assert s.keep(spark.range(5), "x").count() == 5
     (own,) = os.listdir(tmp_path)
     s.drop("x")
