@@ -128,3 +128,34 @@ def test_a_block_put_in_or_left_out_of_a_long_notice():
             got = names_of(" ".join(["before"] * 30 + w[:half] + w[half + size :] + ["after"] * 30))
             assert [x[0] for x in got] == [name] and 30 <= got[0][2] < got[0][3] <= 30 + len(words(np.frombuffer(" ".join(w).encode(), np.uint8))[0])
     assert names_of(" ".join(TEMPLATES["MIT"].split()[:40] + ["header"] * 60 + TEMPLATES["MIT"].split()[40:])) == []
+
+
+def test_whole_licences_are_told_apart():
+    """Each whole text gives its own name, though others share most of its words; so does the part that a notice keeps."""
+    whole = [n for n in TEMPLATES if n.endswith(("-full", "-notice"))]
+    assert len(whole) >= 10
+    for name in whole:
+        n = len(words(np.frombuffer(TEMPLATES[name].encode(), np.uint8))[0])
+        assert names_of(f"Copyright (c) A Corp. {TEMPLATES[name]}")[-1] == (name, n, 4, 4 + n)
+        w = TEMPLATES[name].split()
+        assert [x[0] for x in names_of(" ".join([*w[:20], "inserted", *w[20:-1]]))] == [name]
+    for part, full in (("MIT", "MIT-full"), ("ISC", "ISC-full"), ("Zlib", "Zlib-full"), ("BSD-2-Clause", "BSD-2-Clause-full")):
+        assert [x[0] for x in names_of(TEMPLATES[part])] == [part]
+        assert [x[0] for x in names_of(f"{TEMPLATES[full]} and then {TEMPLATES[part]}")] == [full, part]
+
+
+def test_spans_and_coverage_equal_full_alignment():
+    """Against an alignment of the whole text with the whole template, without index, votes or band."""
+    rng = random.Random(8)
+    for name in ("MIT", "ISC-full", "GPL-notice", "Zlib"):
+        for _ in range(4):
+            w = TEMPLATES[name].split()
+            for _ in range(rng.randint(0, 4)):
+                w.insert(rng.randrange(5, len(w) - 5), f"extra{rng.randrange(99)}")
+                del w[rng.randrange(5, len(w) - 5)]
+            before, after = ([f"{side}{i}" for i in range(rng.randint(3, 40))] for side in ("b", "a"))
+            text = words(np.frombuffer(" ".join(before + w + after).encode(), np.uint8))[2]
+            template = words(np.frombuffer(TEMPLATES[name].encode(), np.uint8))[2]
+            matched, first, end = align(template, text, 0, len(text) + len(template), SIMILAR)
+            assert matched == common_run(template.tolist(), text.tolist())
+            assert names_of(" ".join(before + w + after)) == [(name, matched, first, end)]

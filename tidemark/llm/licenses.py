@@ -7,7 +7,7 @@ a match lie within a band (as wide as a match of this template may shift), the t
 template around the diagonal, which gives the words matched, the coverage of the template and the span
 in the document. Matched words are masked, and what is left is aligned again. A match counts from SIMILAR on, words
 matched over the template's words and the document's words inserted between; of matches that
-overlap the one with more matched words stays.
+overlap the one with more matched words stays, of equal ones that of the shorter template.
 
 The whole text is scanned. Null and empty texts match nothing; rows without a match give no row,
 repeated rows repeat theirs. An empty table gives no rows; other columns are ignored.
@@ -38,14 +38,35 @@ TEMPLATES = {
     "CC-BY-SA-4.0-line": "Licensed under CC BY-SA 4.0.",
     "CC-BY-4.0-work": "This work is licensed under a Creative Commons Attribution 4.0 International License.",
     "GPL-3.0-line": "This work is licensed under the GNU General Public License, version 3.",
+    "AGPL-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
+    "BSL-1.0": "Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software, and to permit third-parties to whom the Software is furnished to do so, all subject to the following:",
     "GPL-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "ISC": "Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted, provided that the above copyright notice and this permission notice appear in all copies.",
+    "LGPL-notice": "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Lesser General Public License as published by the Free Software Foundation, either version 3 of the License, or (at your option) any later version.",
     "MIT-line": "Released under the MIT License.",
     "MIT": "Permission is hereby granted, free of charge, to any person obtaining a copy of this software and associated documentation files (the \"Software\"), to deal in the Software without restriction, including without limitation the rights to use, copy, modify, merge, publish, distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is furnished to do so, subject to the following conditions: The above copyright notice and this permission notice shall be included in all copies or substantial portions of the Software.",
+    "MPL-2.0-notice": "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at https://mozilla.org/MPL/2.0/.",
     "Proprietary-line": "All rights reserved.",
     "Unlicense": "This is free and unencumbered software released into the public domain.",
     "Zlib": "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software.",
 }
+# How the short licences end.
+MIT_END = "THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."
+BSD_END = "THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."
+ISC_END = "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS SOFTWARE."
+ZLIB_END = "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."
+UNLICENSE_END = "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
+
+#: Whole texts of the short licences. The long ones (Apache, GPL, MPL) are known by the notices that refer to them.
+TEMPLATES |= {
+    "0BSD-full": f"Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. {ISC_END}",
+    "BSD-2-Clause-full": f"{TEMPLATES['BSD-2-Clause']} {BSD_END}",
+    "BSD-3-Clause-full": f"{TEMPLATES['BSD-2-Clause']} 3. {TEMPLATES['BSD-3-Clause-endorsement']} {BSD_END}",
+    "ISC-full": f"{TEMPLATES['ISC']} {ISC_END}",
+    "MIT-full": f"{TEMPLATES['MIT']} {MIT_END}",
+    "Unlicense-full": f"{TEMPLATES['Unlicense']} {UNLICENSE_END}",
+    "Zlib-full": f"{TEMPLATES['Zlib']} {ZLIB_END}",
+}
 
 #: Word bytes, lower-cased; other bytes separate.
 _FOLD = np.zeros(256, np.uint8)
@@ -86,7 +107,8 @@ class Index:
     """Fingerprint -> (template, place), as arrays sorted by fingerprint."""
 
     def __init__(self, templates: dict[str, str]):
-        self.names = sorted(templates)
+        # shorter ones first: of templates with as many words matched, that of more coverage comes first
+        self.names = sorted(templates, key=lambda n: (len(templates[n].split()), n))
         self.words = [words(np.frombuffer(templates[n].encode(), np.uint8))[2] for n in self.names]
         rows = []
         for t, w in enumerate(self.words):
