@@ -73,9 +73,17 @@ def test_changes_and_cascades(spark, t):
     after = before.withColumns({"status": V.F.when(V.F.col("id") == 1, "DONE").when(V.F.col("id") == 2, "TODO").otherwise(V.F.col("status")), "due_date": V.F.lit(None).cast("string")})
     got = sorted((r.task_id, r.event_type, r.old, r.new) for r in V.task_changes(before, after).collect())
     assert got == [(1, "DUE_DATE_CHANGED", "2026-01-02", None), (1, "TASK_COMPLETED", "TODO", "DONE"), (2, "DUE_DATE_CHANGED", "2026-01-01", None), (2, "TASK_REOPENED", "DONE", "TODO"), (4, "DUE_DATE_CHANGED", "2026-01-01", None)]
-    x = V.without_task(t, 1)
-    assert ids(x["tasks"].orderBy("id")) == [2, 3, 4] and ids(x["notes"]) == [2] and x["task_activity"].count() == 4
-    x = V.without_member(t, 1, 1)
+    x = V.without_task(t, 1, now=77)
+    assert ids(x["tasks"].orderBy("id")) == [2, 3, 4] and ids(x["notes"]) == [2]
+    assert [tuple(r) for r in x["task_activity"].where("id > 4").collect()] == [(5, 1, 1, 77)]
+    assert V.without_task(t, 99)["task_activity"].count() == 4
+    x = V.without_member(t, 1, 1, actor=2, now=78)
+    assert [tuple(r) for r in x["task_activity"].where("id > 4").collect()] == [(5, 1, 1, 78)]
+    assert [(r.id, r.recipient_user_id, r.workspace_id, r.task_id, r.created_at, r.is_read) for r in x["notifications"].where("id > 7").collect()] == [(8, 1, None, None, 78, False)]
+    assert V.without_member(t, 1, 1, actor=1)["notifications"].count() == 7
+    kinds = spark.createDataFrame([], "id long, task_id long, project_id long, workspace_id long, actor_user_id long, event_type string, details string, created_at long")
+    told = V.without_member(t | {"task_activity": kinds}, 2, 1, now=5)["task_activity"].collect()
+    assert [tuple(r) for r in told] == [(1, 3, 2, 2, 1, "ASSIGNEE_CHANGED", '{"field":"assignee_user_id","from":1,"reason":"membership_removed","to":null}', 5)]
     assert [(r.id, r.assignee_user_id) for r in x["tasks"].orderBy("id").collect()] == [(1, None), (2, None), (3, 1), (4, 1)]
     assert V.without_workspace(t, 1)["notifications"].count() == 3
     assert [tuple(r) for r in V.project_progress(t).orderBy("project_id").select("total", "done", "percent").collect()] == [(2, 1, 50), (1, 0, 0), (1, 0, 0)]

@@ -8,9 +8,10 @@ letters such as the German sharp s.
 
 from __future__ import annotations
 
+import json
 from collections.abc import Mapping
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 Tables = Mapping[str, DataFrame]
@@ -172,12 +173,32 @@ def task_changes(before: DataFrame, after: DataFrame) -> DataFrame:
     return out.where(~F.col("old").eqNullSafe(F.col("new")))
 
 
-def without_task(t: Tables, task: int) -> dict[str, DataFrame]:
-    """The tables after a task was deleted with its notes and due date; its activity stays."""
+def _with_rows(table: DataFrame, rows: DataFrame, now: int | None) -> DataFrame:
+    """A table with rows put in, numbered on from its largest id in the order of their tasks; columns that they lack are null.
+
+    The numbers come from one task, which gets the rows of one statement only.
+    """
+    top = table.agg(F.coalesce(F.max("id"), F.lit(0)).alias("top"))
+    at = F.unix_millis(F.current_timestamp()) if now is None else F.lit(now)
+    rows = rows.withColumns({"n": F.row_number().over(Window.orderBy("task_id")), "created_at": at}).crossJoin(top)  # one row
+    rows = rows.withColumn("id", F.col("top") + F.col("n"))
+    cells = [(F.col(f.name) if f.name in rows.columns else F.lit(None)).cast(f.dataType).alias(f.name) for f in table.schema]
+    return table.unionByName(rows.select(*cells))
+
+
+def without_task(t: Tables, task: int, actor: int | None = None, now: int | None = None) -> dict[str, DataFrame]:
+    """The tables after a task was deleted with its notes and due date; its activity stays and tells of it.
+
+    Without an actor it is the one who made the task.
+    """
     out = {"tasks": t["tasks"].where(F.col("id") != task), "task_due_dates": t["task_due_dates"].where(F.col("task_id") != task)}
     if "notes" in t:
         out["notes"] = t["notes"].where(F.col("task_id") != task)
-    return {**t, **out}
+    homes = t["projects"].select(F.col("id").alias("project_id"), "workspace_id")
+    maker = F.col("created_by_user_id") if actor is None and "created_by_user_id" in t["tasks"].columns else F.lit(actor).cast("long")
+    gone = t["tasks"].where(F.col("id") == task).join(homes, "project_id")
+    told = gone.select(F.col("id").alias("task_id"), "project_id", "workspace_id", maker.alias("actor_user_id"), F.lit("TASK_DELETED").alias("event_type"))
+    return {**t, **out, "task_activity": _with_rows(t["task_activity"], told, now)}
 
 
 def without_workspace(t: Tables, workspace: int) -> dict[str, DataFrame]:
@@ -186,14 +207,30 @@ def without_workspace(t: Tables, workspace: int) -> dict[str, DataFrame]:
     return {**t, **{n: t[n].where(~F.col(c).eqNullSafe(F.lit(workspace))) for n, c in own.items() if n in t}}
 
 
-def without_member(t: Tables, workspace: int, user: int) -> dict[str, DataFrame]:
-    """The tables after a user left a workspace; their tasks there have no assignee."""
+def without_member(t: Tables, workspace: int, user: int, actor: int | None = None, now: int | None = None) -> dict[str, DataFrame]:
+    """The tables after a user left a workspace; their tasks there have no assignee, the activity tells of each.
+
+    Without an actor it is the owner. Someone whom another removed gets a notification.
+    """
     projects = t["projects"].where(F.col("workspace_id") == workspace).select(F.col("id").alias("project_id"), F.lit(True).alias("inside"))
     tasks = t["tasks"].join(projects, "project_id", "left")
-    freed = F.coalesce("inside", F.lit(False)) & (F.col("assignee_user_id") == user)
-    tasks = tasks.withColumn("assignee_user_id", F.when(~F.coalesce(freed, F.lit(False)), F.col("assignee_user_id"))).select(*t["tasks"].columns)
-    rest = t["workspace_members"].where(~((F.col("workspace_id") == workspace) & (F.col("user_id") == user)))
-    return {**t, "tasks": tasks, "workspace_members": rest}
+    freed = F.coalesce(F.coalesce("inside", F.lit(False)) & (F.col("assignee_user_id") == user), F.lit(False))
+    left = tasks.withColumn("assignee_user_id", F.when(~freed, F.col("assignee_user_id"))).select(*t["tasks"].columns)
+    here = F.col("workspace_id") == workspace
+    rest = t["workspace_members"].where(~(here & (F.col("user_id") == user)))
+    details = json.dumps({"field": "assignee_user_id", "from": user, "to": None, "reason": "membership_removed"}, sort_keys=True, separators=(",", ":"))
+    told = tasks.where(freed).select(F.col("id").alias("task_id"), "project_id", F.lit(workspace).alias("workspace_id"), F.lit("ASSIGNEE_CHANGED").alias("event_type"), F.lit(details).alias("details"))
+    if actor is None:
+        owner = t["workspace_members"].where(here & (F.col("role") == "OWNER")).agg(F.min("user_id").alias("actor_user_id"))
+        told = told.crossJoin(owner)  # one row
+    else:
+        told = told.withColumn("actor_user_id", F.lit(actor))
+    out = {"tasks": left, "workspace_members": rest, "task_activity": _with_rows(t["task_activity"], told, now)}
+    if actor != user and "notifications" in t:
+        cells = {"recipient_user_id": F.lit(user), "event_type": F.lit("WORKSPACE_REMOVED"), "summary": F.lit("Your access to a workspace was removed."), "task_id": F.lit(None).cast("long"), "is_read": F.lit(False)}
+        one = t["workspace_members"].where(here & (F.col("user_id") == user)).limit(1).select(*(c.alias(n) for n, c in cells.items()))
+        out["notifications"] = _with_rows(t["notifications"], one, now)
+    return {**t, **out}
 
 
 def project_progress(t: Tables) -> DataFrame:

@@ -12,6 +12,7 @@ import contextlib
 import tempfile
 import uuid
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -390,9 +391,25 @@ def _view_member_leaves(spark, sf_dir):
     return left["tasks"].groupBy("assignee_user_id").agg(F.count(F.lit(1)).alias("n"))
 
 
+def _view_member_audit(spark, sf_dir):
+    told = views.without_member(_tracker(spark, sf_dir), 4, 1, actor=2, now=5)["task_activity"]
+    return told.where("event_type = 'ASSIGNEE_CHANGED'").select("id", "task_id", "workspace_id", "created_at")
+
+
+def _counts(**tables: DataFrame) -> DataFrame:
+    """One row: the rows of each table."""
+    rows = [df.agg(F.count(F.lit(1)).alias(n)) for n, df in tables.items()]
+    return reduce(DataFrame.crossJoin, rows)  # one row each
+
+
 def _view_task_deleted(spark, sf_dir):
-    t = views.without_task(_tracker(spark, sf_dir), 7)
-    return t["tasks"].agg(F.count(F.lit(1)).alias("tasks")).crossJoin(t["task_due_dates"].agg(F.count(F.lit(1)).alias("dated"))).crossJoin(t["task_activity"].where("task_id = 7").agg(F.count(F.lit(1)).alias("activity")))
+    t = views.without_task(_tracker(spark, sf_dir), 7, now=5)
+    return _counts(tasks=t["tasks"], dated=t["task_due_dates"], activity=t["task_activity"].where("task_id = 7"), told=t["task_activity"].where("event_type = 'TASK_DELETED' and created_at = 5"))
+
+
+def _view_workspace_deleted(spark, sf_dir):
+    t = views.without_workspace(_tracker(spark, sf_dir), 4)
+    return _counts(workspaces=t["workspaces"], members=t["workspace_members"], activity=t["task_activity"], notifications=t["notifications"])
 
 
 VIEWS = {
@@ -415,7 +432,15 @@ VIEWS = {
  UNION ALL SELECT id, 'ASSIGNEE_CHANGED', 'assignee_user_id', CAST(id % 3 AS VARCHAR), NULL FROM t WHERE id % 5 = 0""",
     ),
     "view_member_leaves": (_view_member_leaves, "SELECT CASE WHEN o_orderkey % 3 = 1 AND c_nationkey = 4 THEN NULL ELSE o_orderkey % 3 END AS assignee_user_id, count(*) AS n FROM orders LEFT JOIN customer ON o_custkey = c_custkey GROUP BY 1"),
-    "view_task_deleted": (_view_task_deleted, "SELECT (SELECT count(*) FROM orders WHERE o_orderkey <> 7) AS tasks, (SELECT count(*) FROM orders WHERE o_orderkey % 4 <> 0 AND o_orderkey <> 7) AS dated, (SELECT count(*) FROM events WHERE user_id % 50 = 7) AS activity"),
+    "view_task_deleted": (_view_task_deleted, "SELECT (SELECT count(*) FROM orders WHERE o_orderkey <> 7) AS tasks, (SELECT count(*) FROM orders WHERE o_orderkey % 4 <> 0 AND o_orderkey <> 7) AS dated, (SELECT count(*) FROM events WHERE user_id % 50 = 7) + 1 AS activity, 1::BIGINT AS told"),
+    "view_member_audit": (
+        _view_member_audit,
+        "SELECT (SELECT max(event_id) FROM events) + row_number() OVER (ORDER BY o_orderkey) AS id, o_orderkey AS task_id, 4::BIGINT AS workspace_id, 5::BIGINT AS created_at FROM orders JOIN customer ON o_custkey = c_custkey WHERE c_nationkey = 4 AND o_orderkey % 3 = 1",
+    ),
+    "view_workspace_deleted": (
+        _view_workspace_deleted,
+        "SELECT (SELECT count(*) FROM nation WHERE n_nationkey <> 4) AS workspaces, (SELECT count(*) FROM nation WHERE n_nationkey % 2 = 0 AND n_nationkey <> 4) AS members, (SELECT count(*) FROM events WHERE user_id % 25 <> 4) AS activity, (SELECT count(*) FROM events WHERE user_id % 4 = 0 OR user_id % 25 <> 4) AS notifications",
+    ),
     "view_dashboard": (
         _view_dashboard,
         TRACKER_SQL + f"""SELECT (SELECT count(*) FROM nation WHERE n_nationkey % 2 = 0) AS workspace_count, (SELECT count(*) FROM customer WHERE c_nationkey % 2 = 0) AS project_count, count(*) AS task_count,
