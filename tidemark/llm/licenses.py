@@ -57,14 +57,14 @@ ISC_END = "THE SOFTWARE IS PROVIDED \"AS IS\" AND THE AUTHOR DISCLAIMS ALL WARRA
 ZLIB_END = "Permission is granted to anyone to use this software for any purpose, including commercial applications, and to alter it and redistribute it freely, subject to the following restrictions: 1. The origin of this software must not be misrepresented; you must not claim that you wrote the original software. If you use this software in a product, an acknowledgment in the product documentation would be appreciated but is not required. 2. Altered source versions must be plainly marked as such, and must not be misrepresented as being the original software. 3. This notice may not be removed or altered from any source distribution."
 UNLICENSE_END = "Anyone is free to copy, modify, publish, use, compile, sell, or distribute this software, either in source code form or as a compiled binary, for any purpose, commercial or non-commercial, and by any means."
 
-#: Whole texts of the short licences. The long ones (Apache, GPL, MPL) are known by the notices that refer to them.
+#: Whole texts of six short licences, and more of the opening of the Unlicense. The long ones (Apache, GPL, MPL) are known by the notices that refer to them.
 TEMPLATES |= {
     "0BSD-full": f"Permission to use, copy, modify, and/or distribute this software for any purpose with or without fee is hereby granted. {ISC_END}",
     "BSD-2-Clause-full": f"{TEMPLATES['BSD-2-Clause']} {BSD_END}",
     "BSD-3-Clause-full": f"{TEMPLATES['BSD-2-Clause']} 3. {TEMPLATES['BSD-3-Clause-endorsement']} {BSD_END}",
     "ISC-full": f"{TEMPLATES['ISC']} {ISC_END}",
     "MIT-full": f"{TEMPLATES['MIT']} {MIT_END}",
-    "Unlicense-full": f"{TEMPLATES['Unlicense']} {UNLICENSE_END}",
+    "Unlicense-opening": f"{TEMPLATES['Unlicense']} {UNLICENSE_END}",
     "Zlib-full": f"{TEMPLATES['Zlib']} {ZLIB_END}",
 }
 
